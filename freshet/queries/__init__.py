@@ -3,5 +3,6 @@
 from freshet.queries import (  # noqa: F401
     features,
     gauges,
+    hazards,
 )
 from freshet.queries.registry import ORACLES, QUERIES  # noqa: F401

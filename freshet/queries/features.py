@@ -347,9 +347,7 @@ def validated(t):
 
 @query(
     "p6_feature_columns",
-    f"""SELECT feature, count(value) AS filled FROM
-        (UNPIVOT (SELECT {', '.join(f'{n}::DOUBLE AS {n}' for n in FLOOD_NAMES)} FROM ({W12_SQL}))
-         INCLUDE NULLS ON COLUMNS(*) INTO NAME feature VALUE value) GROUP BY 1""",
+    f"WITH k AS ({W12_SQL}) " + " UNION ALL ".join(f"SELECT '{n}' AS feature, count({n}) AS filled FROM k" for n in FLOOD_NAMES),
 )
 def feature_list(t):
     rows = flood_rows(t)
