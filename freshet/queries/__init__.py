@@ -4,5 +4,6 @@ from freshet.queries import (  # noqa: F401
     features,
     gauges,
     hazards,
+    learning,
 )
 from freshet.queries.registry import ORACLES, QUERIES  # noqa: F401
