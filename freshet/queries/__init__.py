@@ -5,5 +5,6 @@ from freshet.queries import (  # noqa: F401
     gauges,
     hazards,
     learning,
+    rasters,
 )
 from freshet.queries.registry import ORACLES, QUERIES  # noqa: F401
