@@ -63,10 +63,12 @@ def label_floods(
     so_far = within.orderBy(time).rowsBetween(W.unboundedPreceding, 0)
     following = within.orderBy(F.desc(time)).rowsBetween(W.unboundedPreceding, -1)
     crossing = F.when(F.col("_start") == 1, F.col(time))
-    numbered = (
-        rows.withColumn("_run", F.sum("_start").over(so_far))
-        .withColumn("_next", F.last(crossing, ignorenulls=True).over(following))
+    runs = rows.withColumn("_run", F.sum("_start").over(so_far))
+    stats = _event_stats(runs, inherited, keys, time, level)
+    return (
+        runs.withColumn("_next", F.last(crossing, ignorenulls=True).over(following))
         .join(inherited, [*keys, SLICE], "inner")
+        .join(stats, [*keys, SLICE, "_run", "label"], "left")
         .withColumn(
             "lead_time_hours",
             F.when(
@@ -75,29 +77,30 @@ def label_floods(
             ),
         )
         .withColumn("event_id", F.when(F.col("label") == 1, F.col("_events_before") + F.col("_run")))
-        .select(*df.columns, SLICE, "label", "lead_time_hours", "event_id")
+        .select(*df.columns, "label", "lead_time_hours", "event_id", "event_duration_hours", "peak_level")
     )
-    return with_event_stats(numbered, keys, time, level).drop(SLICE)
 
 
-def with_event_stats(df: DataFrame, keys: Sequence[str], time: str, level: str) -> DataFrame:
-    """Duration and peak of the event each row belongs to, joined back per (event, slice)."""
+def _event_stats(runs: DataFrame, inherited: DataFrame, keys: Sequence[str], time: str, level: str) -> DataFrame:
+    """Duration and peak of each event, repeated for every (slice, run) it passes through.
+
+    An event is first reduced to one row per slice, so one that covers most of a series stays small.
+    """
     parts = (
-        df.where(F.col("event_id").isNotNull())
-        .groupBy(*keys, "event_id", SLICE)
+        runs.where(F.col("label") == 1)
+        .groupBy(*keys, SLICE, "_run", "label")
         .agg(F.min(time).alias("_from"), F.max(time).alias("_to"), F.max(level).alias("_peak"))
+        .join(inherited.select(*keys, SLICE, "_events_before"), [*keys, SLICE])
     )
-    event = W.partitionBy(*keys, "event_id")
-    stats = parts.select(
+    event = W.partitionBy(*keys, F.col("_events_before") + F.col("_run"))
+    return parts.select(
         *keys,
-        "event_id",
         SLICE,
+        "_run",
+        "label",
         hours_between(F.min("_from").over(event), F.max("_to").over(event)).alias("event_duration_hours"),
         F.max("_peak").over(event).alias("peak_level"),
     )
-    return df.join(stats, [*keys, "event_id", SLICE], "left").select(
-        *df.columns, "event_duration_hours", "peak_level"
-    )
 
 
 def label_summary(df: DataFrame, keys: Sequence[str] = ("station_id",)) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Accepted box, date formats in order of trial, standard columns and known names.
@@ -16,6 +18,7 @@ DATE_FORMATS = (
     "M/d/yyyy",
     "M-d-yyyy",
 )
+FIELD_WIDTH = {"yyyy": r"\d{4}", "d": r"\d{1,2}", "M": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}"}
 CATALOG_SCHEMA = (
     "timestamp timestamp_ntz, lat double, lon double, event_type string, source string, "
     "location_name string, fatalities double"
@@ -34,9 +37,17 @@ CUSTOM_SOURCE = "CUSTOM_"
 DEFAULT_EVENT = "landslide"
 
 
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts a format can possibly read."""
+    return "^" + re.sub("yyyy|[dMHms]", lambda m: FIELD_WIDTH[m.group()], pattern) + "$"
+
+
 def parse_date(text: Column) -> Column:
-    """First format that fits, day before month; then Spark's own timestamp syntax; else null."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
+    """First format that fits, day before month; then Spark's own timestamp syntax; else null.
+
+    Each attempt is guarded by the text's shape: a failed parse costs far more than the match.
+    """
+    tries = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS]
     return F.coalesce(*tries, text.try_cast("timestamp")).cast("timestamp_ntz")
 
 
