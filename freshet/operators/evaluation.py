@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.ordering import running_totals
 
-# The swept thresholds and the recall weight.
-THRESHOLDS = [0.1 + 0.05 * i for i in range(17)]
+# The swept thresholds (17 of them, last bits included) and the recall weight.
+THRESHOLDS = np.arange(0.1, 0.95, 0.05).tolist()
 RECALL_BETA = 2.0
 
 

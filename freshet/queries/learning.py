@@ -223,7 +223,7 @@ CONFUSION = """
 CTES["confusion"] = CONFUSION.format(group="", cut="0.5::DOUBLE", source="scored")
 CTES["sweep"] = CONFUSION.format(
     group="threshold,", cut="threshold",
-    source="(SELECT 0.1::DOUBLE + 0.05::DOUBLE * i AS threshold, s.* FROM scored s, unnest(range(0, 17)) AS t(i)) GROUP BY threshold",
+    source="(SELECT 0.1::DOUBLE + ((0.1::DOUBLE + 0.05::DOUBLE) - 0.1::DOUBLE) * i AS threshold, s.* FROM scored s, unnest(range(0, 17)) AS t(i)) GROUP BY threshold",
 )
 CTES["ranked"] = """
     SELECT sum(pos * (cp / (cp + cn)::DOUBLE)) / max(tot_p) AS pr_auc, sum(neg * (cp - pos + pos / 2.0)) / (max(tot_p) * max(tot_n)) AS roc_auc

@@ -54,9 +54,9 @@ def scratch(t) -> str:
     return f"{checkpoint_root(t.spark)}/freshet-{uuid.uuid4().hex}"
 
 
-def requests(t):
+def requests(t, vertices=None):
     point = F.struct("lat", "lon")
-    return t.vertices().groupBy("route_id").agg(
+    return (t.vertices() if vertices is None else vertices).groupBy("route_id").agg(
         F.min_by(point, "pos").alias("origin"), F.max_by(point, "pos").alias("destination")
     )
 
@@ -73,7 +73,7 @@ def statuses(t):
     direct = done.select(F.col("o_orderkey").alias("route_id"), (price / 997).alias("distance_km"), (price / 1009).cast("int").alias("eta_minutes"))
     detour = done.select(F.col("o_orderkey").alias("route_id"), (price / 991).alias("distance_km"), (price / 1001).cast("int").alias("eta_minutes"))
     return routes.route_status(
-        requests(t), direct, detour, routes.route_zones(vertices, active(t)), routes.route_zones(shifted, active(t))
+        requests(t, vertices), direct, detour, routes.route_zones(vertices, active(t)), routes.route_zones(shifted, active(t))
     )
 
 
