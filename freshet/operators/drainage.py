@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freshet.functions.series import salted_lookup
 from freshet.operators.terrain import D8_CODE, D8_OFFSET
 from freshet.session import materialize
 
@@ -239,8 +240,10 @@ def delineate_catchments(cells: DataFrame, points: DataFrame, valid: str = "elev
         state, lambda: {"pour": F.lit(None).cast("bigint")}, lambda: {"pour": F.col("v_pour")}, ["pour"]
     ).where(F.col("pour").isNotNull())
     chains = _pour_chains(labelled, outlets.select("dem_id", "cell"), linked)
-    inside = labelled.select("dem_id", "cell", "pour").join(chains, ["dem_id", "pour"])
-    return inside.join(placed.withColumnRenamed("cell", "outlet"), ["dem_id", "outlet"]).select(
+    # the points each area belongs to, then one join; one area may hold most cells, so it is salted
+    owners = chains.join(placed.withColumnRenamed("cell", "outlet"), ["dem_id", "outlet"]).select("dem_id", "pour", "point_id")
+    inside = salted_lookup(labelled.select("dem_id", "cell", "pour"), owners, ["dem_id", "pour"], ["cell"], "inner")
+    return inside.select(
         "dem_id",
         "point_id",
         F.floor(F.col("cell") / _BASE).cast("int").alias("row"),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from freshet.functions.series import salted_lookup
 from freshet.operators.drainage import cell_key
 from freshet.session import materialize
 from freshet.sources.rasters import M2_PER_DEGREE2
@@ -167,7 +168,7 @@ def rings(labelled: DataFrame, keys: Sequence[str] = ("dem_id",)) -> DataFrame:
 def outline_vertices(ring_rows: DataFrame, meta: DataFrame) -> DataFrame:
     """Add lon and lat of each ring vertex from the raster's affine terms."""
     m = meta.select("dem_id", "dx", "dy", "left", "top")
-    return ring_rows.join(m, "dem_id").withColumns(
+    return salted_lookup(ring_rows, m, ["dem_id"], ["vrow", "vcol"], "inner").withColumns(
         {"lon": F.col("left") + F.col("vcol") * F.col("dx"), "lat": F.col("top") + F.col("vrow") * F.col("dy")}
     ).drop("dx", "dy", "left", "top")
 
@@ -225,4 +226,4 @@ def catchment_outline(catchment: DataFrame, meta: DataFrame, zone: str = "point_
         F.round(F.col("area_cells") * F.col("dx") * F.col("dx") * 111.32 * 111.32, 2).alias("area_km2_approx"),
         "crs",
     )
-    return vertices.join(sized, list(keys))
+    return salted_lookup(vertices, sized, list(keys), ["vrow", "vcol"], "inner")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,6 +16,9 @@ from freshet.functions.risk import classify_risk, confidence, estimate_lead_time
 from freshet.operators.evaluation import scale_pos_weight
 
 DEFAULT_THRESHOLD = 0.5
+# Spark's trees take no missing values: a value below every real one lets splits set them apart.
+MISSING = -1e9
+_FILLED = "filled_"
 
 
 @dataclass(frozen=True)
@@ -45,19 +48,22 @@ def train(df: DataFrame, features: Sequence[str], profile: Profile = FLOOD, labe
         maxIter=profile.trees, subsamplingRate=profile.row_share, featureSubsetStrategy=profile.feature_share,
         seed=profile.seed, cacheNodeIds=True, checkpointInterval=10,
     )
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, booster]).fit(weighted)
+    filled = ", ".join(f"coalesce(nanvl(double(`{f}`), NULL), {MISSING}D) AS `{_FILLED}{f}`" for f in features)
+    complete = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=[_FILLED + f for f in features], outputCol="features")
+    return Pipeline(stages=[complete, assembler, booster]).fit(weighted)
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     """(feature, importance) in model order; one entry per feature."""
-    assembler, booster = model.stages
-    return list(zip(assembler.getInputCols(), booster.featureImportances.toArray().tolist()))
+    _, assembler, booster = model.stages
+    names = [c.removeprefix(_FILLED) for c in assembler.getInputCols()]
+    return list(zip(names, booster.featureImportances.toArray().tolist()))
 
 
 def with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     scored = model.transform(df).withColumn("probability", vector_to_array("probability")[1])
-    return scored.drop("features", "rawPrediction", "prediction")
+    return scored.select(*df.columns, "probability")
 
 
 def score(

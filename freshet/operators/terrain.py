@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from freshet.functions.series import salted_lookup
 from freshet.session import materialize
 
 # D8 codes by compass point in order of precedence, (row, col) offsets, diagonal length.
@@ -145,10 +146,9 @@ def resolve_flats(cells: DataFrame, value: str = "filled", epsilon: float = FLAT
     distance = nodata_distance(cells, value)
     largest = distance.groupBy("dem_id").agg(F.max("dist").alias("_max"))
     tilt = F.lit(epsilon) * F.coalesce(F.try_divide("dist", "_max"), F.lit(0.0))
+    measured = flat_cells(cells, value).join(distance, ["dem_id", "row", "col"], "left")
     return (
-        flat_cells(cells, value)
-        .join(distance, ["dem_id", "row", "col"], "left")
-        .join(largest, "dem_id", "left")
+        salted_lookup(measured, largest, ["dem_id"], ["row", "col"])
         .withColumn("conditioned", F.when(F.col("is_flat"), F.col(value) + tilt).otherwise(F.col(value)))
         .drop("dist", "_max")
     )

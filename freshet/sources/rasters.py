@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from freshet.functions.series import salted_lookup
+
 # Metres per degree, quality limits, request buffer.
 METRES_PER_DEGREE = 111320.0
 MIN_RESOLUTION_M, MAX_RESOLUTION_M, WARN_RESOLUTION_M = 20.0, 40.0, 100.0
@@ -28,8 +30,8 @@ def read_cells(spark: SparkSession, path: str, meta: DataFrame | None = None, fm
 
 
 def nodata_to_null(cells: DataFrame, meta: DataFrame) -> DataFrame:
-    # one meta row per raster: AQE broadcasts it after measuring it
-    joined = cells.join(meta.select("dem_id", "nodata"), "dem_id", "left")
+    # one raster may hold most cells: salted
+    joined = salted_lookup(cells, meta.select("dem_id", "nodata"), ["dem_id"], ["row", "col"])
     void = F.isnan("elevation") | F.col("elevation").eqNullSafe(F.col("nodata"))
     return joined.withColumn("elevation", F.when(~void, F.col("elevation"))).drop("nodata")
 
@@ -42,7 +44,7 @@ def resolution_m(dx: Column, dy: Column, geographic: Column) -> Column:
 def latlon_to_cell(points: DataFrame, meta: DataFrame) -> DataFrame:
     """Row and column of each point (dem_id, lat, lon) in its raster."""
     m = meta.select("dem_id", "dx", "dy", "left", "top")
-    return points.join(m, "dem_id").withColumns(
+    return salted_lookup(points, m, ["dem_id"], ["lat", "lon"], "inner").withColumns(
         {
             "row": F.floor((F.col("lat") - F.col("top")) / F.col("dy")).cast("int"),
             "col": F.floor((F.col("lon") - F.col("left")) / F.col("dx")).cast("int"),
