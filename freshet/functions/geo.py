@@ -15,10 +15,16 @@ BUCKET_DEGREES = 0.1
 _EDGE = 1e-9
 
 
-def planar_km(lat: Column, lon: Column, center_lat: Column, center_lon: Column) -> Column:
-    """Flat-earth distance with longitude scaled at the centre's latitude."""
+def planar_km(
+    lat: Column, lon: Column, center_lat: Column, center_lon: Column, lon_scale: Column | None = None
+) -> Column:
+    """Flat-earth distance with longitude scaled at the centre's latitude.
+
+    `lon_scale` is that scale when the caller has it as a column, to keep the cosine out of a join.
+    """
+    scale = F.cos(F.radians(center_lat)) if lon_scale is None else lon_scale
     north = (lat - center_lat) * KM_PER_DEGREE
-    east = (lon - center_lon) * KM_PER_DEGREE * F.cos(F.radians(center_lat))
+    east = (lon - center_lon) * KM_PER_DEGREE * scale
     return F.sqrt(north * north + east * east)
 
 

@@ -14,24 +14,26 @@ def seeded_hash(columns: Sequence[str], seed: int) -> Column:
 
 
 def first_by_hash(
-    df: DataFrame, quotas: DataFrame, group: str, unique: Sequence[str], seed: int = 42
+    df: DataFrame, quotas: DataFrame | Column, group: str, unique: Sequence[str], seed: int = 42
 ) -> DataFrame:
     """The first `quota` rows of every group in order of a seeded hash of the `unique` columns.
 
     Hash buckets are even whatever the data, so a bucket is a bounded share of a group. Buckets
     wholly under the quota are taken as they are; only the one bucket that straddles it is ranked.
-    `quotas` has one row (group, quota) per group.
+    `quotas` has one row (group, quota) per group, or is one quota for all, such as a scalar subquery.
     """
     hashed = df.withColumn("_hash", seeded_hash(unique, seed)).withColumn(
         "_bucket", F.substring("_hash", 1, BUCKET_HEX)
     )
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    taken = (
+    sizes = (
         hashed.groupBy(group, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .join(quotas, group)
-        .where(F.col("_before") < F.col("quota"))
+    )
+    limited = sizes.withColumn("quota", quotas) if isinstance(quotas, Column) else sizes.join(quotas, group)
+    taken = (
+        limited.where(F.col("_before") < F.col("quota"))
         .select(
             group,
             "_bucket",

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.ordering import running_totals
+from freshet.functions.quantiles import exact_percentiles
 
 # The swept thresholds (17 of them, last bits included) and the recall weight.
 THRESHOLDS = np.arange(0.1, 0.95, 0.05).tolist()
@@ -117,16 +118,21 @@ def lead_time_stats(df: DataFrame, predicted: str = "prediction", strict: bool =
     """
     wanted = F.col("label") == (1 if strict else 0)
     rows = df.where((F.col(predicted) == 1) & wanted & F.col("lead_time_hours").isNotNull())
-    return rows.agg(
+    plain = rows.agg(
         F.avg("lead_time_hours").alias("mean_lead_time_hours"),
-        F.median("lead_time_hours").alias("median_lead_time_hours"),
         F.min("lead_time_hours").alias("min_lead_time_hours"),
         F.max("lead_time_hours").alias("max_lead_time_hours"),
     )
+    middle = exact_percentiles(rows, [], "lead_time_hours", {"median_lead_time_hours": 0.5})
+    return _one_row(plain, middle)
+
+
+def _one_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Put two one-row tables side by side; the second is a scalar subquery, not a join."""
+    row = right.select(F.struct(*right.columns).alias("_row")).scalar()
+    return left.withColumn("_row", row).select(*left.columns, "_row.*")
 
 
 def evaluate(df: DataFrame, threshold: float = 0.5, score: str = "probability", label: str = "label") -> DataFrame:
-    """One row with confusion and ranking metrics; both inputs to the join are single rows."""
-    left = confusion_metrics(df, threshold, score, label).withColumn("_one", F.lit(1))
-    right = ranking_metrics(df, score, label).withColumn("_one", F.lit(1))
-    return left.join(right, "_one").drop("_one")
+    """One row with confusion and ranking metrics."""
+    return _one_row(confusion_metrics(df, threshold, score, label), ranking_metrics(df, score, label))

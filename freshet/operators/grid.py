@@ -97,10 +97,8 @@ def negative_sampling(
 ) -> DataFrame:
     """All positives and exactly `ratio` negatives per positive, or all negatives if there are fewer."""
     negatives = df.where(F.col("label") == 0)
-    quotas = df.agg(
-        (F.count_if(F.col("label") == 1) * ratio).alias("quota")
-    ).select(F.lit(0).alias("label"), "quota")
-    return df.where(F.col("label") == 1).unionByName(first_by_hash(negatives, quotas, "label", unique, seed))
+    quota = df.agg(F.count_if(F.col("label") == 1) * ratio).scalar()
+    return df.where(F.col("label") == 1).unionByName(first_by_hash(negatives, quota, "label", unique, seed))
 
 
 def monthly_distribution(events: DataFrame, date: str = "date") -> DataFrame:

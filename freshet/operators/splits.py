@@ -29,9 +29,8 @@ def time_split(
     counts = df.groupBy(time).agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(counts, [time], {"_n": "_upto"})
     # the first time whose rows reach past the cut position starts the test part
-    cut = placed.where(F.col("_upto") > F.floor(F.col("_upto_total") * (1 - test_size))).agg(F.min(time).alias("_cut"))
-    marked = df.withColumn("_one", F.lit(1)).join(F.broadcast(cut.withColumn("_one", F.lit(1))), "_one")  # one row
-    return marked.withColumn("split", F.when(F.col(time) < F.col("_cut"), "train").otherwise("test")).drop("_one", "_cut")
+    cut = placed.where(F.col("_upto") > F.floor(F.col("_upto_total") * (1 - test_size))).agg(F.min(time))
+    return df.withColumn("split", F.when(F.col(time) < cut.scalar(), "train").otherwise("test"))
 
 
 def stratified_split(

@@ -131,6 +131,7 @@ def near_zones(
     reach = F.col("radius_km") + F.lit(buffer_km)
     laid = (
         zones.select(*dict.fromkeys([*center, "radius_km"]))
+        .withColumn("_lon_scale", F.cos(F.radians("center_lat")))
         .withColumn("_b", F.explode(covering_buckets(F.col("center_lat"), F.col("center_lon"), reach)))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(POINT_SALTS - 1))))
         .withColumns({"_by": F.col("_b.by"), "_bx": F.col("_b.bx")})
@@ -144,7 +145,9 @@ def near_zones(
             "_salt": F.pmod(F.xxhash64(*point_key), F.lit(POINT_SALTS)).cast("int"),
         }
     ).alias("p")
-    distance = planar_km(F.col("p.lat"), F.col("p.lon"), F.col("z.center_lat"), F.col("z.center_lon"))
+    distance = planar_km(
+        F.col("p.lat"), F.col("p.lon"), F.col("z.center_lat"), F.col("z.center_lon"), F.col("z._lon_scale")
+    )
     on = (
         (F.col("p._by") == F.col("z._by"))
         & (F.col("p._bx") == F.col("z._bx"))

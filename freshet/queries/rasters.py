@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators import drainage, extents, terrain
 from freshet.queries.gauges import r
-from freshet.queries.registry import CTES, query
+from freshet.queries.registry import CTES, query, raster_of
 from freshet.session import materialize
 from freshet.sources import rasters
 
@@ -228,7 +228,7 @@ def outlines(t):
 def pour_points(t):
     """Gauge positions near, but not on, the channels."""
     return t.read("supplier").select(
-        F.lit(1).alias("dem_id"),
+        raster_of(F.col("s_suppkey")),
         F.concat(F.lit("W"), "s_suppkey").alias("point_id"),
         (F.col("s_suppkey") * 7 % 40).cast("int").alias("row"),
         (F.col("s_suppkey") * 3 % 20).cast("int").alias("col"),
@@ -338,7 +338,7 @@ def quality(t):
     """SELECT user_id, floor((lat - 27.0) / -0.0003::DOUBLE)::INTEGER AS "row", floor((lon - 91.0) / 0.0003::DOUBLE)::INTEGER AS col FROM users""",
 )
 def to_cell(t):
-    points = t.users().withColumn("dem_id", F.lit(1))
+    points = t.users().withColumn("dem_id", raster_of(F.col("seq")))
     return rasters.latlon_to_cell(points, meta(t)).select("user_id", "row", "col")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from freshet.functions.clock import plus_hours, stamp
 from freshet.session import prepare
@@ -144,6 +144,11 @@ def with_ctes(sql: str) -> str:
     return f"WITH {head}\n{body}"
 
 
+def raster_of(key: Column) -> Column:
+    """All stand-in cells lie in raster 1 until keys pass a thousand million."""
+    return (F.floor(key / 1_000_000_000) + 1).cast("int").alias("dem_id")
+
+
 class Tables:
     """The supplied tables of one scale folder, and the stand-ins derived from them."""
 
@@ -256,7 +261,7 @@ class Tables:
         row, col = F.floor(key / 20), key % 20
         plane = 500 - F.lit(0.2) * row + 3 * F.abs(col - 10) - F.when(key % 53 == 0, 8).otherwise(0)
         return self.read("part").select(
-            F.lit(1).alias("dem_id"),
+            raster_of(key),
             row.cast("int").alias("row"),
             col.cast("int").alias("col"),
             F.when(key % 97 == 0, F.lit(None))
