@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import extendible, line_frequency
+from freshet.llm import best_fit, extendible, line_frequency, simple8b
 from freshet.llm.common import table
 
 
@@ -12,13 +12,23 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_frequency(table(spark, sf_dir, "documents"))
 
 
+def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.read_ids(spark, simple8b.write_ids(table(spark, sf_dir, "documents")))
+
+
 def op8_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op2_simple8b_ids": op2_simple8b_ids,
     "op8_extendible_dedup": op8_extendible_dedup,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.ORACLE,
