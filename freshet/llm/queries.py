@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import best_fit, extendible, line_frequency, simple8b
+from freshet.llm import best_fit, extendible, fourier_quality, line_frequency, secret_scan, simple8b
 from freshet.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, simple8b.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+
+
 def op8_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -24,11 +29,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fourier_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simple8b_ids": op2_simple8b_ids,
+    "op5_markov_secrets": op5_markov_secrets,
     "op8_extendible_dedup": op8_extendible_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_fourier_quality": op10_fourier_quality,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.ORACLE,
