@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import best_fit, extendible, fourier_quality, line_frequency, secret_scan, simple8b
+from freshet.llm import best_fit, byte_bpe, extendible, fourier_quality, line_frequency, secret_scan, simple8b
 from freshet.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, simple8b.write_ids(table(spark, sf_dir, "documents")))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
@@ -36,6 +40,7 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simple8b_ids": op2_simple8b_ids,
+    "op3_byte_bpe": op3_byte_bpe,
     "op5_markov_secrets": op5_markov_secrets,
     "op8_extendible_dedup": op8_extendible_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
