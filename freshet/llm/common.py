@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,8 +40,25 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(start, step)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Whole runs of equal integer keys, from batches of a partition that is sorted by them."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        columns = np.stack([table.column(k).to_numpy().astype(np.int64) for k in keys])
+        starts = np.concatenate(([0], np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+        for a, b in zip(starts[:-1], starts[1:]):
+            key = tuple(columns[:, a].tolist())
+            if held and key != last:
+                yield last, pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(table.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.concat_tables(held).combine_chunks()
 
 
 def components(edges: DataFrame) -> DataFrame:

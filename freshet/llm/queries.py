@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import best_fit, byte_bpe, extendible, fourier_quality, line_frequency, secret_scan, simple8b
+from freshet.llm import best_fit, byte_bpe, extendible, fourier_quality, line_frequency, lsh_forest, secret_scan, simple8b
 from freshet.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simple8b_ids": op2_simple8b_ids,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_lsh_forest_join": op4_lsh_forest_join,
     "op5_markov_secrets": op5_markov_secrets,
     "op8_extendible_dedup": op8_extendible_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
