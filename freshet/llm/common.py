@@ -91,3 +91,15 @@ def components(edges: DataFrame) -> DataFrame:
         if labels.where("label < old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
+
+
+def checked_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """`df`, a few numbers wide, with a broadcast hint if it has at most `most` rows; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def without(docs: DataFrame, dropped: DataFrame, mark: Column) -> DataFrame:
+    """`docs` less the rows whose doc_id and `mark` stand in `dropped` (doc_id, mark); null ids count as equal."""
+    gone = dropped.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (mark == F.col("gone_mark"))
+    return docs.join(checked_broadcast(gone), same, "left_anti")

@@ -7,11 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.series import salted_lookup
-from freshet.llm.common import one_blank
+from freshet.llm.common import checked_broadcast, one_blank, without
 from freshet.session import checkpoint_root, materialize
 
 DEEPEST = 40
-_BROADCAST_ROWS = 500_000  # of one 64-bit hash each: some 20 MB as a hash table
 
 
 def _prefix(depth: Column) -> Column:
@@ -72,7 +71,7 @@ def write_index(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Texts are equal when identical after every run of blanks became one blank; null counts as empty.
     Keys (64-bit hash, SHA-256, size) go into an extendible-hash index on shared files. Rows whose
@@ -87,7 +86,7 @@ def exact_groups(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
         index.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     )
     # Bytes are read again only for documents whose hash is not alone.
-    named = F.broadcast(many) if many.count() <= _BROADCAST_ROWS else many
+    named = checked_broadcast(many)
     text = one_blank(F.col("text"))
     texts = docs.select("doc_id", text.alias("t")).withColumn("hash", F.xxhash64("t")).join(named, "hash", "left_semi")
     chains = materialize(
@@ -112,16 +111,16 @@ def exact_groups(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
         told = byte_rows.withColumn("row", F.monotonically_increasing_id()).join(
             chains.join(clash, key, "left_semi"), [*key, "t"]
         )
-        found = direct.select("row", "doc_id", "sha", "keep_id", "group_size").unionByName(
-            told.select((-1 - F.col("row")).alias("row"), "doc_id", "sha", "keep_id", "group_size")
+        found = direct.select("row", "doc_id", "hash", "sha", "keep_id", "group_size").unionByName(
+            told.select((-1 - F.col("row")).alias("row"), "doc_id", "hash", "sha", "keep_id", "group_size")
         )
     whole = found.select(
         "row", "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"), F.col("hash").alias("text_hash"),
     )
     first = _first_rows(whole)
-    return first.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return first.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "text_hash")
 
 
 def _first_rows(whole: DataFrame) -> DataFrame:
@@ -139,6 +138,22 @@ def _first_rows(whole: DataFrame) -> DataFrame:
     return whole.join(repeated, same, "left").withColumn("kept", kept)
 
 
+def drop_copies(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
+    """`docs` with one row of every group of equal texts, all columns kept."""
+    groups = exact_groups(docs, capacity)
+    mark = F.xxhash64(one_blank(F.col("text")))
+    gone = groups.where(~F.col("kept")).select("doc_id", "keep_id", F.col("text_hash").alias("mark"))
+    gone = materialize(gone)
+    other = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    left = without(docs, gone.where(other), mark)
+    again = gone.where(~other).select(F.col("doc_id").alias("twice")).distinct()
+    if again.isEmpty():
+        return left
+    is_twice = F.col("doc_id").eqNullSafe(F.col("twice"))
+    rows = left.join(again, is_twice, "left_semi").withColumn("_mark", mark).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    return left.join(again, is_twice, "left_anti").unionByName(rows)
+
+
 ORACLE = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from freshet.llm.common import SLICE_BYTES, slices
 from freshet.session import materialize
 
+ACCEPT = 0.3
 STATISTICS = (
     "log_words", "word_bytes", "different_words", "same_as_last", "upper", "exclamations", "symbols", "bars",
     "digits", "stops", "line_ends", "above_ascii",
@@ -200,7 +201,7 @@ def score_of(text: Column, model: Model) -> Column:
     return F.arrow_udf(lambda texts: pa.array(model.score(statistics(texts)), pa.float64()), "double")(text)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = ACCEPT) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, held_out, score, predicted.
 
     The score is the calibrated chance of quality 1, from whole-text statistics alone. Held-out rows

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.functions.series import salted_lookup
-from freshet.llm.common import components, runs, slices
+from freshet.llm.common import checked_broadcast, components, runs, slices, without
 from freshet.session import materialize
 
 SHINGLE_WORDS = 5
@@ -21,7 +21,6 @@ TREES = 16
 MAX_DEPTH = 8
 RECALL = 0.999
 BLOCK = 1024
-_BROADCAST_ROWS = 500_000  # of one id each
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,6 +103,7 @@ def _described(words: int, trees: int, depth: int):
             short = (values >> np.uint64(48)).astype("<u2")
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
+                "text_hash": batch.column("text_hash"),
                 "c1": pa.array([k[0] for k in keys], pa.int64()),
                 "c2": pa.array([k[1] for k in keys], pa.int64()),
                 "size": pa.array([len(s) for s in sets], pa.int64()),
@@ -226,7 +226,7 @@ def near_groups(
 ) -> DataFrame:
     """One row per row of `docs` (doc_id, text): its group of similar documents and its number of links.
 
-    `class_id` is the smallest doc_id of all documents connected by links, `copy_id` that of the
+    `text_hash` (xxhash64 of the text) tells rows with one doc_id apart. `class_id` is the smallest doc_id of all documents connected by links, `copy_id` that of the
     documents with the same shingles, `n_links` the number of other documents at a Jaccard similarity
     of `threshold` or more (its copies included), `n_linked_texts` that of different shingle sets.
 
@@ -239,8 +239,8 @@ def near_groups(
     without links, null text is empty, repeated rows count as copies, other columns are ignored.
     """
     depth = matching_depth(trees, deepest, threshold, recall)
-    schema = "doc_id bigint, c1 bigint, c2 bigint, size bigint, prefixes array<bigint>, values binary"
-    told = docs.select("doc_id", "text").mapInArrow(_described(words, trees, depth), schema)
+    schema = "doc_id bigint, text_hash bigint, c1 bigint, c2 bigint, size bigint, prefixes array<bigint>, values binary"
+    told = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_described(words, trees, depth), schema)
     sets = materialize(told.withColumn("rep", F.monotonically_increasing_id()))
     classes = materialize(
         sets.groupBy("c1", "c2").agg(
@@ -267,9 +267,7 @@ def near_groups(
         .join(classes, "rep")
     )
 
-    ids = known.select(F.col("copy_id").alias("wanted")).distinct()
-    if known.count() <= _BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = checked_broadcast(known.select(F.col("copy_id").alias("wanted")).distinct())
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     found = texts.mapInArrow(_shingled(words), "c1 bigint, c2 bigint, shingles binary")
     checked = materialize(
@@ -290,6 +288,13 @@ def near_groups(
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"),
     )
-    return salted_lookup(sets.select("doc_id", "rep", "c1", "c2"), described, ["c1", "c2"], ["rep"], "inner", salts=8).select(
-        "doc_id", "class_id", "n_links", "copy_id", "n_linked_texts"
+    return salted_lookup(sets.select("doc_id", "text_hash", "rep", "c1", "c2"), described, ["c1", "c2"], ["rep"], "inner", salts=8).select(
+        "doc_id", "class_id", "n_links", "copy_id", "n_linked_texts", "text_hash"
     )
+
+
+def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
+    """`docs` with the smallest doc_id of every group of similar documents, all columns kept."""
+    groups = near_groups(docs, **settings)
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return without(docs, gone.select("doc_id", F.col("text_hash").alias("mark")), F.xxhash64("text"))

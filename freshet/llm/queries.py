@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import best_fit, byte_bpe, extendible, fourier_quality, line_frequency, lsh_forest, secret_scan, simple8b
+from freshet.llm import best_fit, byte_bpe, cross_entropy, extendible, fourier_quality, line_frequency, lsh_forest, quotations, secret_scan, simple8b
 from freshet.llm.common import table
 
 
@@ -21,7 +21,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_groups(table(spark, sf_dir, "documents"))
+    return lsh_forest.near_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,18 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
 
 
+def op6_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    target = table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy.losses(docs, cross_entropy.fit(docs, target))
+
+
+def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op8_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extendible.exact_groups(table(spark, sf_dir, "documents"))
+    return extendible.exact_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +57,14 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_lsh_forest_join": op4_lsh_forest_join,
     "op5_markov_secrets": op5_markov_secrets,
+    "op6_cross_entropy": op6_cross_entropy,
+    "op7_quotation_links": op7_quotation_links,
     "op8_extendible_dedup": op8_extendible_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fourier_quality": op10_fourier_quality,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.ORACLE,
+    "op7_quotation_links": quotations.ORACLE,
     "op8_extendible_dedup": extendible.ORACLE,
 }
