@@ -70,34 +70,41 @@ def _blanked(text: str, keyword: bool) -> str:
     return text
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
-    """Log-likelihood ratio of each character transition, from samples (text, label).
-
-    Label 1 marks random strings, label 0 text with ordinary identifiers; rows with a null label or
-    text teach nothing. Transitions within runs of the alphabet are counted in the tasks and summed
-    by Spark; the driver gets at most two square tables of 68 states.
+def train(samples: DataFrame, backing: float = 2.0) -> np.ndarray:
+    """Log-likelihood ratios of character transitions, from samples (text, label): a row per random model.
+
+    Label 0 marks text with ordinary identifiers; labels 1 and 2 mark two kinds of random strings, each
+    with a model of its own. Rows with a null label or text teach nothing. Transitions within runs
+    of the alphabet are counted in the tasks and summed by Spark; the driver gets at most three
+    square tables of 68 states. A transition's chance is backed by `backing` counts of its second
+    character's own frequency, so that what a model has never seen counts against it.
     """
     summed = (
         samples.select("text", F.col("label").cast("bigint").alias("label"))
+        .where(F.col("label").isin(0, 1, 2))
         .mapInArrow(_counts, "label bigint, pair bigint, n bigint")
-        .where(F.col("label").isin(0, 1))
         .groupBy("label", "pair")
         .agg(F.sum("n").alias("n"))
         .collect()
     )
-    tables = np.zeros((2, STATES * STATES))
+    tables = np.zeros((3, STATES * STATES))
     for row in summed:
         tables[row["label"], row["pair"]] = row["n"]
-    tables = tables.reshape(2, STATES, STATES) + smoothing
-    chances = np.log(tables / tables.sum(axis=2, keepdims=True))
-    return (chances[1] - chances[0]).ravel()
+    tables = tables.reshape(3, STATES, STATES)
+    single = tables.sum(axis=1, keepdims=True) + 0.5
+    single /= single.sum(axis=2, keepdims=True)
+    chances = np.log((tables + backing * single) / (tables.sum(axis=2, keepdims=True) + backing))
+    return (chances[1:] - chances[0]).reshape(2, -1)
 
 
 def random_strings(spark: SparkSession, n: int = 20_000) -> DataFrame:
-    """Labelled random strings by rule: digests in lower-case hex and in Base64, a bounded sample of `n` each."""
+    """Labelled random strings by rule: digests in Base64 (1) and in lower-case hex (2), a bounded sample of `n` each."""
     digest = F.sha2(F.col("id").cast("string"), 256)
-    both = F.array(F.substring(digest, 1, 40), F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""))
-    return spark.range(n).select(F.explode(both).alias("text"), F.lit(1).alias("label"))
+    kinds = F.array(
+        F.struct(F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "").alias("text"), F.lit(1).alias("label")),
+        F.struct(F.substring(digest, 1, 40).alias("text"), F.lit(2).alias("label")),
+    )
+    return spark.range(n).select(F.explode(kinds).alias("k")).select("k.*")
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
@@ -118,9 +125,10 @@ def _spans(texts: pa.Array, ratios: np.ndarray, least: float) -> list[list[tuple
     if candidates:
         joined = np.frombuffer(("\n" + "\n".join(c[3] for c in candidates) + "\n").encode(), np.uint8)
         state = _STATE[joined]
-        steps = np.concatenate(([0], np.cumsum(ratios[state[:-1] * STATES + state[1:]])))
         edges = np.flatnonzero(state == 0)
-        totals = steps[edges[1:]] - steps[edges[:-1]]
+        at = state[:-1] * STATES + state[1:]
+        steps = [np.concatenate(([0], np.cumsum(model[at]))) for model in ratios]
+        totals = np.max([s[edges[1:]] - s[edges[:-1]] for s in steps], axis=0)
         for (row, start, end, _), total in zip(candidates, totals):
             if total >= least:
                 found[row].append((start, "random", end))
@@ -135,7 +143,7 @@ def scan(docs: DataFrame, ratios: np.ndarray, least: float = 12.0) -> DataFrame:
     """One row per row of `docs` (doc_id, text): spans of secrets as kind:start:end in code points, end exclusive.
 
     Base kinds come from fixed patterns. A candidate is a run of at least 20 characters with letters
-    and digits that touches no base span; it is `random` when the log-likelihood ratio of the
+    and digits that touches no base span; it is `random` when the log-likelihood ratio of a
     random-string model to the identifier model is at least `least`. Null text is empty and has no
     spans; repeated rows are scanned each; other columns are ignored.
     """

@@ -1,0 +1,347 @@
+"""LSH forest join (4), secret scan (5), cross-entropy (6), quotations (7), classifier (10) and the pipeline."""
+
+import hashlib
+import math
+import os
+import random
+import re
+import sys
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+import corpora  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from freshet.llm import common, cross_entropy, fourier_quality, lsh_forest, quotations, secret_scan  # noqa: E402
+from freshet.llm.queries import QUERIES  # noqa: E402
+
+needs_data = pytest.mark.skipif(not os.path.isdir(corpora.SF_DIR), reason="supplied tables not present")
+
+
+def check_links(got, rows):
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r["doc_id"], r["n_links"], r["class_id"]) for r in got), key=key) == sorted(corpora.linked(rows), key=key)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_links_of_awkward_rows(spark, block):
+    docs = corpora.awkward(spark)
+    check_links(lsh_forest.near_groups(docs, block=block).collect(), corpora.pairs(docs))
+    assert lsh_forest.near_groups(corpora.nothing(spark)).collect() == []
+    assert lsh_forest.drop_near_copies(corpora.nothing(spark)).collect() == []
+
+
+def test_links_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    rows = []
+    for d in range(120):
+        text = list(base)
+        for _ in range(rng.randrange(5)):
+            text[rng.randrange(200)] = f"new{d}"
+        rows.append((d, " ".join(text)))
+    rows += [(500 + d, " ".join(base)) for d in range(30)]
+    rows += [(900 + d, " ".join(f"u{d}x{k}" for k in range(60))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (1024, 16):
+        check_links(lsh_forest.near_groups(docs, block=block).collect(), rows)
+    left = {r["doc_id"] for r in lsh_forest.drop_near_copies(docs).collect()}
+    assert left == {c for _, _, c in corpora.linked(rows)}
+
+
+@needs_data
+def test_links_of_the_table(spark):
+    check_links(QUERIES["op4_lsh_forest_join"](spark, corpora.SF_DIR).collect(), corpora.pairs(corpora.documents(spark)))
+
+
+def test_prefixes_shorten_to_the_target_recall():
+    assert lsh_forest.matching_depth(16, 8, 0.8, 0.999) == 4
+    assert lsh_forest.matching_depth(16, 8, 0.95, 0.999) == 8
+    depths = [lsh_forest.matching_depth(16, 8, 0.8, r) for r in (0.5, 0.9, 0.99, 0.999, 1.0)]
+    assert depths == sorted(depths, reverse=True) and depths[-1] == 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), max_size=12), min_size=1, max_size=8))
+def test_intersections_are_exact(sets):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    got = lsh_forest.shared_counts(arrays, columns=3)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                assert got[i, j] == len(a & b)
+
+
+def test_components_follow_long_chains(spark):
+    edges = [(k, k + 1) for k in range(60)] + [(200, 100), (100, 300)] + [(7, 7), (None, 3)]
+    got = {r["node"]: r["label"] for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 100}
+
+
+# --- secrets
+
+
+def naive_spans(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{e}" for a, k, e in sorted(found))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "API_KEY", "apikey", "=", ": ", '"', "AKIA", "AKIA" * 6, "abc123", "f" * 12, "é ", "\n", "token=", "ab.cd"]), max_size=14))
+def test_base_spans_equal_the_plain_patterns(parts):
+    text = "".join(parts)
+    spans = sorted(secret_scan.base_spans(text), key=lambda s: (s[0], secret_scan.KINDS.index(s[1])))
+    assert ",".join(f"{k}:{a}:{e}" for a, k, e in spans) == naive_spans(text)
+
+
+@pytest.fixture(scope="module")
+def ratios(spark):
+    prose = spark.createDataFrame([(STORY_OF_NAMES,)], "text string")
+    return secret_scan.train(secret_scan.labelled_samples(prose))
+
+
+STORY_OF_NAMES = " ".join(f"{a}_{b}_{c}{k}" for k, (a, b, c) in enumerate(
+    (x, y, z) for x in ("get", "set", "user", "table") for y in ("name", "value", "index", "count") for z in ("from", "with", "item", "list")
+)) + " the quick brown fox jumps over the lazy dog and runs into the forest " * 20
+
+
+def test_random_strings_are_told_from_identifiers(spark, ratios):
+    rng = random.Random(1)
+    alphabet = secret_scan.ALPHABET[:62]
+    keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(200)]
+    names = [f"get_table_value_from_user_list_{k}" for k in range(200)]
+    rows = list(enumerate([f"see ñ {k} here" for k in keys] + [f"call {n} here" for n in names]))
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), ratios).collect()
+    hit = {r["doc_id"] for r in got if r["n_random"]}
+    assert len(hit & set(range(200))) >= 190 and not hit & set(range(200, 400))
+    assert all(r["spans"] == f"random:6:{6 + 40}" for r in got if r["doc_id"] in hit)
+
+
+def test_secrets_of_awkward_rows_and_masks(spark, ratios):
+    docs = corpora.awkward(spark)
+    got = secret_scan.scan(docs, ratios).collect()
+    assert len(got) == docs.count() and secret_scan.scan(corpora.nothing(spark), ratios).collect() == []
+    texts = dict(corpora.pairs(docs))
+    for r in got:
+        if r["doc_id"] not in (12, None):
+            assert r["base_sha256"] == hashlib.sha256(naive_spans(texts[r["doc_id"]] or "").encode()).hexdigest()
+    rows = [(1, 'x token = "' + "0f" * 20 + '" y'), (2, None), (3, "clean text"), (4, "AKIA" + "Z" * 16)]
+    masked = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", secret_scan.masked("text", ratios).alias("m"))
+    assert dict(map(tuple, masked.collect())) == {1: 'x [secret]" y', 2: None, 3: "clean text", 4: "[secret]"}
+
+
+@needs_data
+def test_secrets_of_the_table(spark):
+    texts = dict(corpora.pairs(corpora.documents(spark)))
+    got = QUERIES["op5_markov_secrets"](spark, corpora.SF_DIR).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = naive_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [base.count(k + ":") for k in ("assign", "access", "hex")]
+
+
+# --- cross-entropy
+
+
+def naive_losses(rows, target, size, weight):
+    texts = {d: (t or "").split() for d, t in rows}
+    counts = {}
+    for words in texts.values():
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+    known = sorted(counts, key=lambda w: (-counts[w], w))[:size]
+    number = {w: k + 1 for k, w in enumerate(known)}
+    n = len(known) + 1 + cross_entropy.UNKNOWN
+    coded = {
+        d: [number.get(w, len(known) + 1 + min(cross_entropy.UNKNOWN - 1, len(w.encode()) // 2)) for w in words]
+        for d, words in texts.items()
+    }
+    models = []
+    for chosen in (target, set(texts)):
+        pairs = np.zeros((n, n))
+        for d in chosen:
+            for a, b in zip([0, *coded[d]], coded[d]):
+                pairs[a, b] += 1
+        models.append(pairs)
+    models[1] *= models[0].sum() / models[1].sum()
+    tables = []
+    for pairs in models:
+        single = pairs.sum(0) + 1
+        single[0] = 0
+        single /= single.sum()
+        tables.append((pairs + weight * single) / (pairs.sum(1, keepdims=True) + weight))
+    out = {}
+    for d, words in coded.items():
+        places = list(zip([0, *words], words))
+        out[d] = [-sum(math.log(t[p]) for p in places) / max(1, len(places)) for t in tables]
+    return out
+
+
+@needs_data
+def test_losses_equal_a_plain_model(spark):
+    docs = corpora.documents(spark)
+    target = spark.read.parquet(f"{corpora.SF_DIR}/labels.parquet").where("quality = 1")
+    models = cross_entropy.fit(docs, target, size=300)
+    got = {r["doc_id"]: r for r in cross_entropy.losses(docs, models).collect()}
+    want = naive_losses(corpora.pairs(docs), {r["doc_id"] for r in target.collect()}, 300, 64.0)
+    assert got.keys() == want.keys()
+    for d, (a, b) in want.items():
+        assert got[d]["target_loss"] == pytest.approx(a, abs=1e-4) and got[d]["background_loss"] == pytest.approx(b, abs=1e-4)
+        assert got[d]["difference"] == pytest.approx(a - b, abs=2e-4)
+
+
+def test_losses_prefer_the_target_and_stand_awkward_rows(spark):
+    rows = [(k, "red green blue " * 5) for k in range(20)] + [(100 + k, "one two three " * 5) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    models = cross_entropy.fit(docs, docs.where("doc_id < 10"))
+    got = {r["doc_id"]: r["difference"] for r in cross_entropy.losses(docs, models).collect()}
+    assert max(got[k] for k in range(20)) < 0 < min(got[100 + k] for k in range(20))
+    odd = corpora.awkward(spark)
+    models = cross_entropy.fit(odd, odd.select("doc_id"))
+    got = cross_entropy.losses(odd, models).collect()
+    assert len(got) == odd.count() and all(math.isfinite(r["difference"]) for r in got)
+    assert all(r["target_loss"] == 0 for r in got if r["doc_id"] in (4, 5, 6))
+    none = corpora.nothing(spark)
+    empty = cross_entropy.fit(none, none.select("doc_id"))
+    assert cross_entropy.losses(none, empty).collect() == []
+    assert all(math.isfinite(r["difference"]) for r in cross_entropy.losses(odd, empty).collect())
+
+
+# --- quotations
+
+TALK = [
+    (1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "On Monday A wrote:\n> Hello  THERE\n> how are you?\nFine."),
+    (1, 2, "user", "unrelated"), (1, 3, "user", ">> hello there\n>> how are you?\n> fine.\n\nGood to hear"),
+    (1, 4, "user", "> never said\nwhat?"), (1, 5, "assistant", "> unrelated\nreply"), (1, 6, "user", None),
+    (1, 7, "user", " > how are you?\r\n> > deeper\n > unrelated \nboth"), (2, 0, "user", "> Hello there\nno"), (2, 1, "user", ""),
+]
+
+
+def test_quotations_find_their_messages(spark):
+    talk = spark.createDataFrame([(*m, "x") for m in TALK], "conv_id bigint, turn bigint, role string, text string, t string")
+    got = {(r["conv_id"], r["turn"]): r for r in quotations.link_quotations(talk).collect()}
+    assert {k: (r["parent_turn"], r["root_turn"], r["position"]) for k, r in got.items()} == {
+        (1, 0): (None, 0, 0), (1, 1): (0, 0, 1), (1, 3): (1, 0, 2), (1, 2): (None, 2, 3), (1, 5): (2, 2, 4), (1, 7): (2, 2, 5),
+        (1, 4): (None, 4, 6), (1, 6): (None, 6, 7), (2, 0): (None, 0, 0), (2, 1): (None, 1, 1),
+    }
+    assert {k: r["text"] for k, r in got.items() if k[1] in (1, 3, 7)} == {
+        (1, 1): "Fine.", (1, 3): "Good to hear", (1, 7): "both", (2, 1): "",
+    }
+    assert got[1, 3]["quote_levels"] == 2 and got[1, 3]["n_quoted_lines"] == 3
+
+
+def test_quotation_sql_says_the_same(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", TALK)
+    talk = spark.createDataFrame(TALK, "conv_id bigint, turn bigint, role string, text string")
+    got = sorted(tuple(r) for r in quotations.link_quotations(talk).collect())
+    assert got == sorted(con.execute(quotations.ORACLE).fetchall())
+
+
+def test_quotations_of_awkward_rows(spark):
+    rows = [(None, 0, None, "x"), (None, 1, "u", "> x\ny"), (None, 1, "u", "> x\ny"), (3, None, "u", "z"), (3, 0, "u", "> z"), (3, 1, None, ">" * 500)]
+    talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = quotations.link_quotations(talk).collect()
+    assert len(got) == len(rows)
+    assert [r["parent_turn"] for r in got if r["conv_id"] is None and r["turn"] == 1] == [0, 0]
+    assert sorted(r["position"] for r in got) == [0, 0, 1, 1, 2, 2]
+    assert quotations.link_quotations(talk.limit(0)).collect() == []
+
+
+# --- classifier
+
+
+def test_statistics_are_those_of_plain_counting():
+    texts = ["Aa Aa bb!! |#1\n", "", None, "é é é x", "  \n"]
+    got = fourier_quality.statistics(pa.array(texts, pa.string()))
+    name = {n: k for k, n in enumerate(fourier_quality.STATISTICS)}
+    for row, text in zip(got, texts):
+        raw, words = (text or "").encode(), (text or "").split()
+        assert row[name["log_words"]] == pytest.approx(math.log1p(len(words)))
+        assert row[name["different_words"]] == pytest.approx(len(set(words)) / max(1, len(words)))
+        assert row[name["same_as_last"]] == pytest.approx(sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words)))
+        assert row[name["upper"]] == pytest.approx(sum(65 <= b < 91 for b in raw) / max(1, len(raw)))
+        assert row[name["above_ascii"]] == pytest.approx(sum(b > 127 for b in raw) / max(1, len(raw)))
+    sliced = pa.array(["zz", *texts], pa.string()).slice(1)
+    assert np.allclose(fourier_quality.statistics(sliced), got)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 5)), min_size=1, max_size=30))
+def test_isotonic_levels_rise_and_keep_the_mean(bins):
+    y = np.array([min(a, b) for a, b in bins], float)
+    w = np.array([b for _, b in bins], float)
+    knots, levels = fourier_quality.isotonic(np.arange(len(bins)), y, w)
+    assert (np.diff(levels) >= -1e-12).all() and (np.diff(knots) >= 0).all()
+    fitted = np.interp(np.arange(len(bins)), knots, levels)
+    assert (fitted * w).sum() == pytest.approx(y.sum())
+
+
+def test_classifier_is_right_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("supplied tables not present")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = QUERIES["op10_fourier_quality"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    rows = got.where("held_out").join(labels, "doc_id").collect()
+    good = [r for r in rows if r["quality"] == 1]
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.97 * len(rows)
+    assert sum(r["predicted"] for r in good) >= 0.99 * len(good)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_classifier_stands_awkward_rows(spark):
+    docs, none = corpora.awkward(spark), corpora.nothing(spark)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (11, 1), (11, 0), (None, 1), (7, None)], "doc_id bigint, quality int")
+    got = fourier_quality.quality_scores(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    bare = fourier_quality.quality_scores(docs, labels.limit(0)).collect()
+    assert {r["score"] for r in bare} == {0.5}
+    ones = fourier_quality.quality_scores(docs, labels.where("quality = 1")).collect()
+    assert all(r["score"] > 0.9 for r in ones)
+    assert fourier_quality.quality_scores(none, labels).collect() == []
+
+
+# --- pipeline
+
+
+@needs_data
+def test_pipeline_stages_do_what_their_operators_say(spark, tmp_path):
+    docs = corpora.documents(spark)
+    kept, columns = [docs], docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, kept[-1], corpora.SF_DIR)
+        out.write.parquet(str(tmp_path / str(k)))
+        kept.append(spark.read.parquet(str(tmp_path / str(k))))
+    good, unique, single, clean, packed = kept[1:]
+    assert all(df.columns == columns for df in kept[:-1])
+    scores = QUERIES["op10_fourier_quality"](spark, corpora.SF_DIR).where("predicted = 1")
+    assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in scores.collect()}
+    texts = [re.sub(r"[\x20\x09-\x0D]+", " ", t) for _, t in corpora.pairs(unique)]
+    assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]+", " ", t) for _, t in corpora.pairs(good)})
+    assert {r["doc_id"] for r in single.collect()} == {c for _, _, c in corpora.linked(corpora.pairs(unique))}
+    before = dict(corpora.pairs(single))
+    assert all((naive_spans(before[d]) == "") == (t == before[d]) for d, t in corpora.pairs(clean)) and clean.count() == len(before)
+    assert {r["doc_id"] for r in packed.collect()} == set(before)
+
+
+def test_pipeline_stands_awkward_and_empty_tables(spark, tmp_path):
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 14)], "doc_id bigint, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, docs in (("a", corpora.awkward(spark)), ("n", corpora.nothing(spark))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+        assert (docs.count() == 0) == (name == "n")
