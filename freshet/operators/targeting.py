@@ -37,12 +37,14 @@ def user_priority(
     buffer_km: float = NEAR_KM,
     key: Sequence[str] = ("user_id",),
     lexical_severity: bool = False,
+    valid_at: str | None = None,
 ) -> DataFrame:
     """One decision per user. The nearest zone is the one with the nearest centre; ties go by zone_id.
 
-    Users near no zone, or when there are no zones at all, get a NONE row.
+    Users near no zone, or when there are no zones at all, get a NONE row. With `valid_at`, a column of
+    `users`, only zones whose `valid_until` lies after that time count for a user.
     """
-    pairs = near_zones(users, zones, buffer_km, key, "left")
+    pairs = near_zones(users, zones, buffer_km, key, "left", valid_at=valid_at)
     inside = F.coalesce(F.col("is_inside"), F.lit(False))
     order = W.partitionBy(*key).orderBy(F.col("distance_km").asc_nulls_last(), "zone_id")
     ranked = pairs.withColumn("_rank", F.row_number().over(order))

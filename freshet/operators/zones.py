@@ -120,14 +120,16 @@ def near_zones(
     point_key: Sequence[str] = ("user_id",),
     how: str = "inner",
     zone_columns: Sequence[str] = ("zone_id", "radius_km", "severity", "hazard_type"),
+    valid_at: str | None = None,
 ) -> DataFrame:
     """Points (lat, lon) with every zone whose edge is within `buffer_km`; adds distance_km, is_inside.
 
     Each zone is laid over the grid buckets its reach covers and each point lies in one bucket, so
     the distance test becomes an equi-join with a residual condition and no pair appears twice.
-    Crowded buckets are salted on the point side.
+    Crowded buckets are salted on the point side. With `valid_at`, a time column of `points`, a zone
+    counts only while its `valid_until` lies after that time.
     """
-    center = ["center_lat", "center_lon", *zone_columns]
+    center = ["center_lat", "center_lon", *zone_columns, *(["valid_until"] if valid_at else [])]
     reach = F.col("radius_km") + F.lit(buffer_km)
     laid = (
         zones.select(*dict.fromkeys([*center, "radius_km"]))
@@ -154,6 +156,8 @@ def near_zones(
         & (F.col("p._salt") == F.col("z._salt"))
         & (distance <= F.col("z.radius_km") + F.lit(buffer_km))
     )
+    if valid_at:
+        on &= F.col("z.valid_until") > F.col(f"p.{valid_at}")
     if how in ("left_semi", "left_anti"):
         return placed.join(laid, on, how).select(*points.columns)
     joined = placed.join(laid, on, how)

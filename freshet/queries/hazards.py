@@ -64,6 +64,14 @@ CTES.update(
     }
 )
 
+# the same decisions for users who report at times of their own
+CTES["near_moving"] = CTES["near"].replace("users u JOIN active z", "movers u JOIN zones z").replace(
+    "ON sqrt", "ON z.valid_until > u.ts AND sqrt"
+)
+CTES["moving_near"] = CTES["user_near"].replace("users u", "movers u").replace("near n", "near_moving n")
+CTES["moving_tier"] = CTES["user_tier"].replace("user_near", "moving_near")
+CTES["moving"] = CTES["decisions"].replace("user_tier", "moving_tier")
+
 
 def made_zones(t):
     level = risk.classify_risk(F.col("probability"))

@@ -17,6 +17,9 @@ from freshet.session import prepare
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = "2024-01-15 12:00:00"
+# Stand-ins keep their density at any scale: so many users make one gauge, and so many suppliers and
+# customers share a tile of two degrees (60 tiles by latitude, then 179 by longitude).
+GAUGE_USERS, TILE_ZONES, TILE_USERS = 8, 100, 1500
 
 
 def query(name: str, sql: str | None = None):
@@ -31,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 CTES: dict[str, str] = {
     "gauge_raw": """
-        SELECT 'ST' || (user_id % 20) AS station_id, date_trunc('hour', ts)::TIMESTAMP AS "timestamp",
+        SELECT 'ST' || (user_id // 8) AS station_id, date_trunc('hour', ts)::TIMESTAMP AS "timestamp",
                47 + value / 41 AS water_level, 49.0::DOUBLE AS warning_level,
                50.0::DOUBLE AS danger_level, event_id AS seq
         FROM events""",
@@ -40,7 +43,7 @@ CTES: dict[str, str] = {
                49.0::DOUBLE AS warning_level, 50.0::DOUBLE AS danger_level
         FROM gauge_raw GROUP BY station_id, "timestamp" """,
     "rain_points": """
-        SELECT 'ST' || (user_id % 20) AS catchment_id, event_type AS point_id,
+        SELECT 'ST' || (user_id // 8) AS catchment_id, event_type AS point_id,
                date_trunc('hour', ts)::TIMESTAMP AS "timestamp",
                sum(value) / 53 AS precipitation, 15 + avg(value) / 53 AS temperature_2m
         FROM events GROUP BY 1, 2, 3""",
@@ -55,8 +58,8 @@ CTES: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         GROUP BY 1, 2""",
     "stations": """
-        SELECT 'ST' || s_suppkey AS station_id, 26 + (s_suppkey * 37 % 200) / 100.0::DOUBLE AS lat,
-               91 + (s_suppkey * 53 % 200) / 100.0::DOUBLE AS lon,
+        SELECT 'ST' || s_suppkey AS station_id, -60 + 2 * ((43 + s_suppkey // 100) % 60) + (s_suppkey * 37 % 200) / 100.0::DOUBLE AS lat,
+               -179 + 2 * ((135 + s_suppkey // 6000) % 179) + (s_suppkey * 53 % 200) / 100.0::DOUBLE AS lon,
                least(greatest((s_acctbal + 1000) / 11000, 0), 1) AS probability,
                CASE WHEN s_suppkey % 2 = 0 THEN 'flood' ELSE 'landslide' END AS hazard_type,
                s_suppkey AS key
@@ -77,9 +80,11 @@ CTES: dict[str, str] = {
         SELECT * FROM zones WHERE valid_until > TIMESTAMP '2024-01-15 12:00:00'""",
     "users": """
         SELECT 'U' || lpad(c_custkey::VARCHAR, 9, '0') AS user_id,
-               26 + (c_custkey * 7919 % 2000) / 1000.0::DOUBLE AS lat,
-               91 + (c_custkey * 104729 % 2000) / 1000.0::DOUBLE AS lon, c_custkey AS seq
+               -60 + 2 * ((43 + c_custkey // 1500) % 60) + (c_custkey * 7919 % 2000) / 1000.0::DOUBLE AS lat,
+               -179 + 2 * ((135 + c_custkey // 90000) % 179) + (c_custkey * 104729 % 2000) / 1000.0::DOUBLE AS lon, c_custkey AS seq
         FROM customer""",
+    "movers": """
+        SELECT *, TIMESTAMP '2024-01-15 12:00:00' + to_hours(seq % 60 - 20) AS ts FROM users""",
     "near": """
         SELECT u.user_id, z.*, sqrt(((u.lat - center_lat) * 111.0) ** 2
                  + ((u.lon - center_lon) * 111.0 * cos(radians(center_lat))) ** 2) AS distance_km
@@ -144,6 +149,24 @@ def with_ctes(sql: str) -> str:
     return f"WITH {head}\n{body}"
 
 
+def tile_lat(key: Column, size: int) -> Column:
+    return -60 + 2 * ((43 + F.floor(key / size)) % 60)
+
+
+def tile_lon(key: Column, size: int) -> Column:
+    return -179 + 2 * ((135 + F.floor(key / (60 * size))) % 179)
+
+
+def users_of(customers: DataFrame) -> DataFrame:
+    key = F.col("c_custkey")
+    return customers.select(
+        F.concat(F.lit("U"), F.lpad(key.cast("string"), 9, "0")).alias("user_id"),
+        (tile_lat(key, TILE_USERS) + (key * 7919 % 2000) / 1000.0).alias("lat"),
+        (tile_lon(key, TILE_USERS) + (key * 104729 % 2000) / 1000.0).alias("lon"),
+        key.alias("seq"),
+    )
+
+
 def raster_of(key: Column) -> Column:
     """All stand-in cells lie in raster 1 until keys pass a thousand million."""
     return (F.floor(key / 1_000_000_000) + 1).cast("int").alias("dem_id")
@@ -161,7 +184,7 @@ class Tables:
 
     def gauge_raw(self) -> DataFrame:
         return self.read("events").select(
-            F.concat(F.lit("ST"), F.col("user_id") % 20).alias("station_id"),
+            F.concat(F.lit("ST"), F.floor(F.col("user_id") / GAUGE_USERS)).alias("station_id"),
             F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("timestamp"),
             (47 + F.col("value") / 41).alias("water_level"),
             F.lit(49.0).alias("warning_level"),
@@ -181,7 +204,7 @@ class Tables:
         return (
             self.read("events")
             .groupBy(
-                F.concat(F.lit("ST"), F.col("user_id") % 20).alias("catchment_id"),
+                F.concat(F.lit("ST"), F.floor(F.col("user_id") / GAUGE_USERS)).alias("catchment_id"),
                 F.col("event_type").alias("point_id"),
                 F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("timestamp"),
             )
@@ -214,8 +237,8 @@ class Tables:
         key = F.col("s_suppkey")
         return self.read("supplier").select(
             F.concat(F.lit("ST"), key).alias("station_id"),
-            (26 + (key * 37 % 200) / 100.0).alias("lat"),
-            (91 + (key * 53 % 200) / 100.0).alias("lon"),
+            (tile_lat(key, TILE_ZONES) + (key * 37 % 200) / 100.0).alias("lat"),
+            (tile_lon(key, TILE_ZONES) + (key * 53 % 200) / 100.0).alias("lon"),
             F.least(F.greatest((F.col("s_acctbal") + 1000) / 11000, F.lit(0.0)), F.lit(1.0)).alias("probability"),
             F.when(key % 2 == 0, "flood").otherwise("landslide").alias("hazard_type"),
             key.alias("key"),
@@ -239,13 +262,11 @@ class Tables:
         )
 
     def users(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.read("customer").select(
-            F.concat(F.lit("U"), F.lpad(key.cast("string"), 9, "0")).alias("user_id"),
-            (26 + (key * 7919 % 2000) / 1000.0).alias("lat"),
-            (91 + (key * 104729 % 2000) / 1000.0).alias("lon"),
-            key.alias("seq"),
-        )
+        return users_of(self.read("customer"))
+
+    def moving_users(self, customers: DataFrame) -> DataFrame:
+        """Users who report once each, at hours before and after the zones' common instant."""
+        return users_of(customers).withColumn("ts", plus_hours(stamp(AS_OF), F.col("seq") % 60 - 20))
 
     def slides(self) -> DataFrame:
         return self.read("lineitem").select(

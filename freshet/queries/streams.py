@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.clock import plus_hours
 from freshet.queries.gauges import r
-from freshet.queries.registry import AS_OF, query
+from freshet.queries.registry import GAUGE_USERS, query
 from freshet.queries.travel import scratch
 from freshet.streaming import watch
 
@@ -26,7 +26,7 @@ def drained(t, stream):
 @query(
     "st3_gauge_watch",
     """
-    WITH gauge_at AS (SELECT 'ST' || (user_id % 20) AS station_id, ts AS "timestamp", 47 + value / 41 AS water_level FROM events),
+    WITH gauge_at AS (SELECT 'ST' || (user_id // 8) AS station_id, ts AS "timestamp", 47 + value / 41 AS water_level FROM events),
     lim AS (SELECT max("timestamp") - INTERVAL 1 HOUR AS mark FROM gauge_at),
     hourly AS (SELECT station_id, date_trunc('hour', "timestamp")::TIMESTAMP AS hour, avg(water_level) AS mean_level,
                       max(water_level) AS max_level FROM gauge_at GROUP BY 1, 2)
@@ -36,33 +36,48 @@ def drained(t, stream):
 )
 def gauges(t):
     readings = stream_of(t, "events").select(
-        F.concat(F.lit("ST"), F.col("user_id") % 20).alias("station_id"), F.col("ts").alias("timestamp"),
+        F.concat(F.lit("ST"), F.floor(F.col("user_id") / GAUGE_USERS)).alias("station_id"), F.col("ts").alias("timestamp"),
         (47 + F.col("value") / 41).alias("water_level"), F.lit(49.0).alias("warning_level"), F.lit(50.0).alias("danger_level"),
     )
     return drained(t, watch.gauge_watch(readings)).select("station_id", "hour", r("mean_level"), r("max_level"), "state")
 
 
-@query("st1_zone_registry")
+@query(
+    "st1_zone_registry",
+    """
+    WITH regs AS (
+      SELECT 'Z' || user_id AS zone_id, CASE WHEN value >= 200 THEN 'CRITICAL' WHEN value >= 50 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+             ts::TIMESTAMP AS issued, ts::TIMESTAMP + to_hours(floor(value / 10)::BIGINT + 1) AS until FROM events),
+    seen AS (SELECT *, lead(issued) OVER (PARTITION BY zone_id ORDER BY issued, until, severity) AS next FROM regs)
+    SELECT zone_id, 'ACTIVE' AS event, severity, until AS valid_until, issued AS event_time FROM regs
+    UNION ALL
+    SELECT zone_id, 'ALL_CLEAR', severity, until, until FROM seen
+    WHERE (next IS NULL OR until <= next) AND until < (SELECT date_trunc('millisecond', max(issued)) FROM regs)""",
+)
 def registry(t):
-    """Every event registers its user's zone for a number of hours given by its value."""
-    until = plus_hours("ts", (F.col("value") / 10).cast("int") + 1)
+    """Every event registers its user's zone for a number of hours given by its value.
+
+    Files may hold events in any order, so the watermark waits for the whole span of the table.
+    """
+    until = plus_hours("ts", F.floor(F.col("value") / 10).cast("int") + 1)
     severity = F.when(F.col("value") >= 200, "CRITICAL").when(F.col("value") >= 50, "HIGH").otherwise("MEDIUM")
     registrations = stream_of(t, "events").select(
         F.concat(F.lit("Z"), "user_id").alias("zone_id"), severity.alias("severity"), F.col("ts").alias("issued_at"), until.alias("valid_until")
     )
-    return drained(t, watch.zone_registry(registrations))
+    events = drained(t, watch.zone_registry(registrations))
+    return events.select(
+        "zone_id", "event", "severity", F.col("valid_until").cast("timestamp_ntz").alias("valid_until"),
+        F.col("event_time").cast("timestamp_ntz").alias("event_time"),
+    )
 
 
 @query(
     "st2_position_alerts",
-    "SELECT user_id, priority, action, zones FROM decisions",
+    "SELECT user_id, priority, action, zones FROM moving",
 )
 def positions(t):
-    key = F.col("c_custkey")
-    users = stream_of(t, "customer").select(
-        F.concat(F.lit("U"), F.lpad(key.cast("string"), 9, "0")).alias("user_id"),
-        (26 + (key * 7919 % 2000) / 1000.0).alias("lat"), (91 + (key * 104729 % 2000) / 1000.0).alias("lon"), key.alias("seq"),
-    )
+    """Customers report at hours of their own, spread over the days in which zones expire."""
+    users = t.moving_users(stream_of(t, "customer"))
     path, checkpoint = scratch(t), scratch(t)
-    watch.position_alerts(users, t.zones(), AS_OF, path, checkpoint).awaitTermination()
+    watch.position_alerts(users, t.zones, path, checkpoint).awaitTermination()
     return t.spark.read.parquet(path).select("user_id", "priority", "action", F.array_join("zones", ",").alias("zones"))

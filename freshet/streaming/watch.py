@@ -5,61 +5,67 @@ All three read an append-only source and can run continuously or with `available
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from freshet.functions.clock import stamp
 from freshet.operators.alerts import alert_id
 from freshet.operators.targeting import user_priority
-from freshet.operators.zones import active_zones
 
 REGISTRY_SCHEMA = "zone_id string, event string, severity string, valid_until timestamp, event_time timestamp"
-_STATE_SCHEMA = "severity string, valid_until_ms long, issued_ms long"
+_STATE_SCHEMA = "held string"
 
 
-def _millis(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
+def _micros(ts) -> int:
+    return int(pd.Timestamp(ts).value // 1_000)
 
 
-def _instant(ms: int) -> pd.Timestamp:
-    return pd.Timestamp(ms, unit="ms")
+def _instant(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
 
 
 def _register(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold the newest registration of one zone; clear it when the watermark passes its validity."""
-    zone_id = key[0]
+    """Emit every registration of one zone, and an all-clear for each that lapses before the zone's next one.
+
+    Held are the registrations that nothing known has superseded, as [issued, until, severity] in
+    microseconds. One is superseded by a later one issued before its end. Only when the watermark
+    has passed its end is it cleared, as by then no earlier registration can still come.
+    """
+    held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
     rows = []
-    if state.hasTimedOut:
-        severity, until, _ = state.get
-        rows.append((zone_id, "ALL_CLEAR", severity, _instant(until), _instant(until)))
-        state.remove()
-    else:
-        held = state.get if state.exists else None
+    if not state.hasTimedOut:
         for batch in batches:
-            newest = batch.sort_values("issued_at").iloc[-1]
-            found = (str(newest["severity"]), _millis(newest["valid_until"]), _millis(newest["issued_at"]))
-            if held is None or found[2] >= held[2]:
-                held = found
-        severity, until, issued = held
-        rows.append((zone_id, "ACTIVE", severity, _instant(until), _instant(issued)))
-        if until <= state.getCurrentWatermarkMs():
-            rows.append((zone_id, "ALL_CLEAR", severity, _instant(until), _instant(until)))
-            if state.exists:
-                state.remove()
-        else:
-            state.update(held)
-            state.setTimeoutTimestamp(until)
+            arrived = sorted(
+                zip(map(_micros, batch["issued_at"]), map(_micros, batch["valid_until"]), map(str, batch["severity"]))
+            )
+            for issued, until, severity in arrived:
+                rows.append((key[0], "ACTIVE", severity, _instant(until), _instant(issued)))
+            held = sorted([*held, *arrived])
+    held = [x for x, later in zip(held, [*held[1:], None]) if later is None or x[1] <= later[0]]
+    passed = state.getCurrentWatermarkMs() * 1000
+    for _, until, severity in (x for x in held if x[1] < passed):
+        rows.append((key[0], "ALL_CLEAR", severity, _instant(until), _instant(until)))
+    held = [x for x in held if x[1] >= passed]
+    if held:
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(min(x[1] for x in held) // 1000)
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(rows, columns=["zone_id", "event", "severity", "valid_until", "event_time"])
 
 
 def zone_registry(registrations: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Stream of zone registrations (zone_id, severity, issued_at, valid_until) -> ACTIVE / ALL_CLEAR rows.
 
-    State is one small record per live zone; the event-time timer at `valid_until` removes it.
+    One ACTIVE row per registration; one ALL_CLEAR row, at `valid_until`, for each registration that
+    ends no later than the zone's next one is issued, and for the last one once the watermark has
+    passed its end. How rows fall into batches makes no difference. A row older than the watermark
+    (the newest `issued_at` seen, less `delay`) is late: it is dropped and changes nothing. State is a
+    few numbers per live zone; the event-time timer removes them.
     """
     kept = registrations.select(
         "zone_id",
@@ -108,18 +114,20 @@ def gauge_watch(readings: DataFrame, delay: str = "1 hour", station: str = "stat
 
 
 def position_alerts(
-    positions: DataFrame, zones: DataFrame, as_of: str, path: str, checkpoint: str, buffer_km: float = 5.0,
-    available_now: bool = True,
+    positions: DataFrame, read_zones: Callable[[], DataFrame], path: str, checkpoint: str, buffer_km: float = 5.0,
+    time: str = "ts", available_now: bool = True,
 ) -> StreamingQuery:
-    """Decide every arriving user position against the active zones and write the decisions.
+    """Decide every arriving user position against the zones that are valid at its own time.
 
-    Each micro-batch is the batch operator; its output goes to a directory named by the batch id
-    and is overwritten on replay, so a restarted batch leaves no duplicates.
+    Each micro-batch reads the zones anew, so zones registered since the start count and expired ones
+    do not. A zone holds for a position while `time` is before its `valid_until`. The batch's output
+    goes to a directory named by the batch id and is overwritten on replay, so a restarted batch
+    leaves no duplicates.
     """
-    active = active_zones(zones, as_of)
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        user_priority(batch, active, buffer_km).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        decided = user_priority(batch, read_zones(), buffer_km, valid_at=time)
+        decided.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = positions.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

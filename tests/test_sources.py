@@ -182,6 +182,63 @@ def test_zone_registry_replaces_and_clears(spark, tmp_path):
     assert events.where("event = 'ACTIVE'").count() == 4
 
 
+def _registry_of(spark, folder, rows, batches, delay):
+    schema = "zone_id string, severity string, issued_at timestamp_ntz, valid_until timestamp_ntz"
+    source, out, state = (str(folder / x) for x in ("in", "out", "state"))
+    for k in range(batches):
+        data = [(z, s, pd.Timestamp(a).to_pydatetime(), pd.Timestamp(b).to_pydatetime()) for z, s, a, b in rows[k::batches]]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = watch.zone_registry(spark.readStream.schema(schema).parquet(source), delay)
+        watch.append_to(stream, out, state).awaitTermination()
+    return sorted(map(str, spark.read.parquet(out).collect()))
+
+
+def test_zone_registry_does_not_depend_on_batches(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    rows = [
+        (f"z{k % 3}", f"s{k}", start + pd.Timedelta(minutes=37 * k), start + pd.Timedelta(minutes=37 * k + 20 + 61 * (k % 5)))
+        for k in range(40)
+    ] + [("z9", "late end", start, start + pd.Timedelta(days=9)), ("z8", "tie", start, start), ("z8", "tie", start, start)]
+    whole = _registry_of(spark, tmp_path / "one", rows, 1, "3 days")
+    parts = _registry_of(spark, tmp_path / "many", rows, 4, "3 days")
+    assert whole == parts
+    # a row after the whole span lets the watermark pass every end but the last
+    end = [("z7", "end", start + pd.Timedelta(days=5), start + pd.Timedelta(days=6))]
+    whole = _registry_of(spark, tmp_path / "one", end, 1, "3 days")
+    assert whole == _registry_of(spark, tmp_path / "many", end, 1, "3 days")
+    clears = 0
+    for zone in {r[0] for r in rows}:
+        mine = sorted((a, b) for z, _, a, b in rows if z == zone)
+        clears += sum(b < start + pd.Timedelta(days=2) and (k + 1 == len(mine) or b <= mine[k + 1][0]) for k, (_, b) in enumerate(mine))
+    assert sum("ALL_CLEAR" in x for x in whole) == clears and sum("'ACTIVE'" in x for x in whole) == len(rows) + 1
+
+
+def test_zone_registry_drops_late_rows(spark, tmp_path):
+    start = pd.Timestamp("2024-01-01")
+    hours = lambda n: start + pd.Timedelta(hours=n)
+    _registry_of(spark, tmp_path, [("a", "x", hours(10), hours(20))], 1, "1 hour")
+    late = _registry_of(spark, tmp_path, [("b", "x", hours(5), hours(6)), ("a", "y", hours(30), hours(40))], 1, "1 hour")
+    assert not any("'b'" in x for x in late) and sum("ALL_CLEAR" in x for x in late) == 1
+
+
+def test_position_alerts_use_the_zones_of_the_moment(spark, tmp_path):
+    schema = "user_id string, lat double, lon double, ts timestamp_ntz"
+    zone = "zone_id string, center_lat double, center_lon double, radius_km double, severity string, hazard_type string, valid_until timestamp_ntz"
+    at = lambda h: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime()
+    known = [("Z1", 26.0, 91.0, 5.0, "HIGH", "flood", at(6))]
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        users = spark.readStream.schema(schema).parquet(source)
+        watch.position_alerts(users, lambda: spark.createDataFrame(known, zone), out, state).awaitTermination()
+        return {r.user_id: (r.priority, r.zones) for r in spark.read.parquet(out).collect()}
+
+    assert run([("u1", 26.0, 91.0, at(1)), ("u2", 26.0, 91.0, at(7))]) == {"u1": ("P0", ["Z1"]), "u2": ("NONE", [])}
+    known.append(("Z2", 26.0, 91.0, 5.0, "LOW", "flood", at(20)))
+    assert run([("u3", 26.0, 91.0, at(7))])["u3"] == ("P0", ["Z2"])
+
+
 def test_gauge_watch_states(spark, tmp_path):
     times = pd.date_range("2024-01-01", periods=8, freq="30min")
     rows = [("S", t.to_pydatetime(), v, 49.0, 50.0) for t, v in zip(times, [48.0, 48.0, 49.5, 49.5, 51.0, 51.0, 40.0, 40.0])]
