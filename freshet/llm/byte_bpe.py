@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.llm.common import slices
+from freshet.llm.common import in_slices, slices
 from freshet.session import materialize
 
 CHUNK = 65_536
@@ -169,7 +169,7 @@ def decoded(ids: Column, ranks: str | None = None, pattern: str | None = None) -
             pa.binary(),
         )
 
-    return F.arrow_udf(run, "binary")(ids)
+    return F.arrow_udf(in_slices(run), "binary")(ids)
 
 
 def digests(docs: DataFrame) -> DataFrame:

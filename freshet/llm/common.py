@@ -40,6 +40,17 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
             yield batch.slice(start, step)
 
 
+def in_slices(function, limit: int = SLICE_BYTES):
+    """An Arrow function of one column that sees about `limit` bytes at a time, whatever the batch it gets."""
+
+    def run(column):
+        rows = len(column)
+        step = max(1, min(rows, rows * limit // max(1, column.nbytes)))
+        return pa.concat_arrays([function(column.slice(k, step)) for k in range(0, rows, step)]) if rows else function(column)
+
+    return run
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Whole runs of equal integer keys, from batches of a partition that is sorted by them."""
     held: list[pa.Table] = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.llm.common import SLICE_BYTES, slices
+from freshet.llm.common import SLICE_BYTES, in_slices, slices
 from freshet.session import materialize
 
 ACCEPT = 0.3
@@ -36,9 +36,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
     edges = offsets - offsets[0]
     for k, name in enumerate(STATISTICS):
         if name in _BYTES:
-            member = np.zeros(256, np.int32)
+            member = np.zeros(256, np.uint8)
             member[list(_BYTES[name])] = 1
-            upto = np.concatenate(([0], np.cumsum(member[data])))[edges]
+            upto = np.concatenate(([0], np.cumsum(member[data], dtype=np.int64)))[edges]
             out[:, k] = np.diff(upto) / np.maximum(size, 1)
     split = pc.ascii_split_whitespace(texts)
     coded = split.flatten().dictionary_encode()
@@ -198,7 +198,8 @@ def fit_on_labels(stats: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_of(text: Column, model: Model) -> Column:
-    return F.arrow_udf(lambda texts: pa.array(model.score(statistics(texts)), pa.float64()), "double")(text)
+    scored = in_slices(lambda texts: pa.array(model.score(statistics(texts)), pa.float64()))
+    return F.arrow_udf(scored, "double")(text)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = ACCEPT) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from freshet.llm.common import slices
+from freshet.llm.common import in_slices, slices
 
 # Fixed patterns of the base scan, in the order of their kinds.
 ASSIGN = re.compile(
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, ratios: np.ndarray, least: float = 12.0) -> DataFrame:
 def masked(text: Column, ratios: np.ndarray, least: float = 12.0, mask: str = "[secret]") -> Column:
     """`text` with every span replaced by `mask`, overlapping spans by one; null stays null."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(texts):
         out = []
         for text, spans in zip(texts.to_pylist(), _spans(texts.fill_null(""), ratios, least)):
             if text is None or not spans:
@@ -184,4 +184,4 @@ def masked(text: Column, ratios: np.ndarray, least: float = 12.0, mask: str = "[
             out.append("".join(parts) + text[upto:])
         return pa.array(out, pa.string())
 
-    return F.arrow_udf(run, "string")(text)
+    return F.arrow_udf(in_slices(run), "string")(text)
