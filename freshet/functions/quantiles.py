@@ -16,7 +16,7 @@ def exact_percentiles(
 
     A mergeable sketch brackets each wanted rank (it is guaranteed within n/accuracy ranks), then
     only values inside the bracket are counted and ranked. Groups no larger than `accuracy` use
-    their full range as bracket. The ranked remainder is about 8 n/accuracy rows per group.
+    their full range as bracket; the result is exact on both sides of that size. The ranked remainder is about 8 n/accuracy rows per group.
     """
     margin = 3.0 / accuracy
     names = list(probabilities)

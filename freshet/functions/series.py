@@ -148,14 +148,13 @@ def home_rows(df: DataFrame) -> DataFrame:
 def step_hours(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Median hours between consecutive rows, one row per series with at least two rows.
 
-    The exact median keeps one counter per distinct step length. Distinct whole-second steps of a
-    series spanning S seconds number at most sqrt(2 S) — about 80 000 for a century — so the
-    aggregation state is bounded whatever the row count.
+    The rank is bracketed by a sketch first, so the work stays bounded per task however many
+    different steps a series has.
     """
+    from freshet.functions.quantiles import exact_percentiles  # which builds on this module
+
     linked = with_previous(df.select(*keys, time), keys, time, [])
     gap = micros(time) - micros(F.col("_prev").getField(time))
-    return (
-        linked.where(F.col("_prev").isNotNull())
-        .groupBy(*keys)
-        .agg((F.percentile(gap, F.lit(0.5)) / F.lit(3.6e9)).alias("step_hours"))
-    )
+    gaps = linked.where(F.col("_prev").isNotNull()).select(*keys, gap.alias("_gap"))
+    middle = exact_percentiles(gaps, keys, "_gap", {"_median": 0.5})
+    return middle.select(*keys, (F.col("_median") / F.lit(3.6e9)).alias("step_hours"))

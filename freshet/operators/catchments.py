@@ -32,11 +32,12 @@ def catchment_rainfall(df: DataFrame, catchment_id: str | None = None) -> DataFr
 
 
 def forecast_window(df: DataFrame, as_of: str, days: int, time: str = "timestamp") -> DataFrame:
+    """Rows of the day `as_of` and the `days` - 1 after it; forecasts reach FORECAST_DAYS at most."""
+    if not 1 <= days <= FORECAST_DAYS:
+        raise ValueError(f"days must be 1 to {FORECAST_DAYS}, not {days}")
     start = F.lit(as_of).cast("date")
-    return df.where(
-        (F.col(time).cast("date") >= start)
-        & (F.col(time).cast("date") < F.date_add(start, min(days, FORECAST_DAYS)))
-    )
+    day = F.col(time).cast("date")
+    return df.where((day >= start) & (day < F.date_add(start, days)))
 
 
 def rain_totals(df: DataFrame, variables: Sequence[str] = ("rainfall_mm",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.series import salted_lookup
 from freshet.operators.terrain import D8_CODE, D8_OFFSET
-from freshet.session import materialize
+from freshet.session import discard, materialize
 
 _BASE = 1 << 31
 
@@ -69,39 +69,42 @@ def flow_accumulation(cells: DataFrame, valid: str = "elevation") -> DataFrame:
     included) and its ancestor 2^k steps down; adding the counts of the cells exactly 2^k steps
     upstream doubles the depth covered.
     """
-    linked = materialize(downstream(cells, valid).select("dem_id", "cell", "to"))
-    state = linked.withColumn("acc", F.lit(1).cast("bigint"))
+    linked = materialize(downstream(cells, valid).select("dem_id", "cell", "to", F.lit(1).cast("bigint").alias("acc")))
+    # A round carries only cells that still have an ancestor to reach. Counts of the others, and what
+    # reaches them later, are rows of the tables the rounds leave behind, summed once at the end.
+    tables, live = [linked], linked.where(F.col("to").isNotNull())
     cyclic = True
     for _ in range(_rounds(linked)):
-        if state.where(F.col("to").isNotNull()).isEmpty():
+        if live.isEmpty():
             cyclic = False
             break
-        gains = (
-            state.where(F.col("to").isNotNull())
-            .groupBy("dem_id", F.col("to").alias("cell"))
-            .agg(F.sum("acc").alias("_gain"))
+        gains = live.groupBy("dem_id", F.col("to").alias("cell")).agg(F.sum("acc").alias("_gain"))
+        hops = live.select("dem_id", F.col("cell").alias("to"), F.col("to").alias("_next"))
+        met = live.join(gains, ["dem_id", "cell"], "full_outer").select(
+            "dem_id",
+            "cell",
+            # what only gains has no pointer; its key is its own, which no cell has
+            F.coalesce("to", -1 - F.col("cell")).alias("to"),
+            (F.coalesce("acc", F.lit(0)) + F.coalesce("_gain", F.lit(0))).alias("acc"),
         )
-        hops = state.select("dem_id", F.col("cell").alias("to"), F.col("to").alias("_next"))
-        state = materialize(
-            state.join(gains, ["dem_id", "cell"], "left")
-            .join(hops, ["dem_id", "to"], "left")
-            .select(
-                "dem_id",
-                "cell",
-                F.col("_next").alias("to"),
-                (F.col("acc") + F.coalesce("_gain", F.lit(0))).alias("acc"),
-            )
+        moved = materialize(
+            met.join(hops, ["dem_id", "to"], "left").select("dem_id", "cell", F.col("_next").alias("to"), "acc")
         )
-    result = state.select("dem_id", "cell", F.col("acc").alias("flow_acc"), "to")
+        tables.append(moved)
+        live = moved.where(F.col("to").isNotNull())
+    ended = live.select("dem_id", "cell", "acc")
+    for part in tables:
+        ended = ended.unionByName(part.where(F.col("to").isNull()).select("dem_id", "cell", "acc"))
+    result = ended.groupBy("dem_id", "cell").agg(F.sum("acc").alias("flow_acc"))
     if cyclic:
         # after more steps than there are cells, every pointer that is left lands on a cycle member;
         # only those have no finite count
-        members = state.where(F.col("to").isNotNull()).select(
-            "dem_id", F.col("to").alias("cell"), F.lit(True).alias("_cyclic")
-        ).distinct()
+        members = live.select("dem_id", F.col("to").alias("cell"), F.lit(True).alias("_cyclic")).distinct()
         result = result.join(members, ["dem_id", "cell"], "left").withColumn(
             "flow_acc", F.when(F.col("_cyclic").isNull(), F.col("flow_acc"))
         )
+    result = materialize(result)
+    discard(*tables)
     keyed = cells.withColumn("_cell", cell_key(F.col("row"), F.col("col")))
     return keyed.join(result.select("dem_id", F.col("cell").alias("_cell"), "flow_acc"), ["dem_id", "_cell"], "left").drop(
         "_cell"
@@ -116,11 +119,13 @@ def _follow(state: DataFrame, merge_open, merge_done, payload: list[str]) -> Dat
     that never finish lie on a cycle and stay open.
     """
     state = materialize(state)
+    # finished cells stay in the table of the round that finished them
+    tables, active = [state], state.where(~F.col("done"))
+    ended = state.where(F.col("done"))
     for _ in range(_rounds(state)):
-        active = state.where(~F.col("done"))
         if active.isEmpty():
             break
-        ahead = state.select(
+        ahead = ended.unionByName(active).select(
             "dem_id",
             F.col("cell").alias("to"),
             F.col("to").alias("v_to"),
@@ -136,8 +141,12 @@ def _follow(state: DataFrame, merge_open, merge_done, payload: list[str]) -> Dat
             F.col("v_done").alias("done"),
             *[F.when(F.col("v_done"), finished[c]).otherwise(opened[c]).alias(c) for c in payload],
         )
-        state = materialize(state.where(F.col("done")).unionByName(moved.select(*state.columns)))
-    return state
+        latest = materialize(moved.select(*state.columns))
+        tables.append(latest)
+        active, ended = latest.where(~F.col("done")), ended.unionByName(latest.where(F.col("done")))
+    result = materialize(ended.unionByName(active))
+    discard(*tables)
+    return result
 
 
 def compute_hand(

@@ -14,11 +14,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from freshet.functions.series import salted_lookup
 from freshet.operators.drainage import cell_key
-from freshet.session import materialize
+from freshet.session import discard, materialize
 from freshet.sources.rasters import M2_PER_DEGREE2
 
-_MAX_ROUNDS = 200
-
 
 def regions(cells: DataFrame, keys: Sequence[str] = ("dem_id",)) -> DataFrame:
     """Label 4-connected regions of a sparse cell set; `region` is the region's first cell in row-major order."""
@@ -39,9 +37,11 @@ def regions(cells: DataFrame, keys: Sequence[str] = ("dem_id",)) -> DataFrame:
     touching = runs.select(*keys, F.col("node").alias("u"), upper.alias("v")).where(F.col("v").isNotNull()).distinct()
     edges = materialize(touching.unionByName(touching.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))))
     state = materialize(runs.select(*keys, "node").distinct().withColumn("p", F.col("node")))
-    for _ in range(_MAX_ROUNDS):
+    tables = [state]
+    while True:
+        # every run of a large region has the same parent, so that lookup is salted
         parents = state.select(*keys, F.col("node").alias("p"), F.col("p").alias("gp"))
-        lifted = materialize(state.join(parents, [*keys, "p"]))
+        lifted = materialize(salted_lookup(state, parents, [*keys, "p"], ["node"], "inner"))
         offered = (
             edges.join(lifted.select(*keys, F.col("node").alias("v"), "gp"), [*keys, "v"])
             .groupBy(*keys, F.col("u").alias("node"))
@@ -57,11 +57,11 @@ def regions(cells: DataFrame, keys: Sequence[str] = ("dem_id",)) -> DataFrame:
             .withColumn("_moved", F.col("_new") != F.col("p"))
             .select(*keys, "node", F.col("_new").alias("p"), "_moved")
         )
-        state = moved.drop("_moved")
+        discard(lifted, *tables)
+        tables, state = [moved], moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             break
-    else:
-        raise RuntimeError("region labelling did not settle")
+    discard(edges)
     return runs.join(state.withColumnRenamed("p", "region"), [*keys, "node"]).drop("node")
 
 
@@ -128,15 +128,18 @@ def rings(labelled: DataFrame, keys: Sequence[str] = ("dem_id",)) -> DataFrame:
         .agg(F.min_by("next", turn).alias("next"))
     )
     # the smallest edge of each cycle, learnt by doubling along successors
+    linked = materialize(linked)
     state = materialize(linked.withColumn("ring", F.least("edge", "next")))
-    for _ in range(_MAX_ROUNDS):
+    tables = [state]
+    while True:
         ahead = state.select(*keys, F.col("edge").alias("next"), F.col("next").alias("_to"), F.col("ring").alias("_ring"))
         moved = materialize(
             state.join(ahead, [*keys, "next"])
             .withColumn("_moved", F.col("_ring") < F.col("ring"))
             .select(*keys, "region", "edge", F.col("_to").alias("next"), F.least("ring", "_ring").alias("ring"), "_moved")
         )
-        state = moved.drop("_moved")
+        discard(*tables)
+        tables, state = [moved], moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             break
     heads = state.select(*keys, "edge", "ring")
@@ -150,16 +153,21 @@ def rings(labelled: DataFrame, keys: Sequence[str] = ("dem_id",)) -> DataFrame:
         F.lit(1).cast("bigint").alias("left"),
     )
     state = materialize(steps)
+    discard(linked, *tables)
     while not state.where(F.col("next").isNotNull()).isEmpty():
         ahead = state.select(*keys, F.col("edge").alias("next"), F.col("next").alias("_to"), F.col("left").alias("_left"))
+        # edges whose count has ended look up a key of their own, which no edge has
+        own = F.coalesce("next", -1 - F.col("edge"))
+        before = state
         state = materialize(
-            state.join(ahead, [*keys, "next"], "left").select(
+            state.withColumn("next", own).join(ahead, [*keys, "next"], "left").select(
                 *keys, "region", "ring", "edge", F.col("_to").alias("next"), (F.col("left") + F.coalesce("_left", F.lit(0))).alias("left")
             )
         )
+        discard(before)
     length = state.where(F.col("edge") == F.col("ring")).select(*keys, "ring", F.col("left").alias("_length"))
     return (
-        state.join(length, [*keys, "ring"])
+        salted_lookup(state, length, [*keys, "ring"], ["edge"], "inner")
         .join(edges.select(*keys, "edge", "ar", "ac"), [*keys, "edge"])
         .select(*keys, "region", "ring", (F.col("_length") - F.col("left")).alias("position"), F.col("ar").alias("vrow"), F.col("ac").alias("vcol"))
     )

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.functions.clock import stamp
 from freshet.functions.risk import classify_risk, confidence, estimate_lead_time
 from freshet.operators.evaluation import scale_pos_weight
+from freshet.operators.explain import TOP_DRIVERS, driver_strings
+from freshet.operators.grid import BBox, points_in_grid
+from freshet.session import checkpoint_root
 
 DEFAULT_THRESHOLD = 0.5
 # Spark's trees take no missing values: a value below every real one lets splits set them apart.
@@ -39,6 +42,7 @@ LANDSLIDE = Profile(depth=5, rate=0.03, trees=300)
 
 def train(df: DataFrame, features: Sequence[str], profile: Profile = FLOOD, label: str = "label") -> PipelineModel:
     """Gradient-boosted trees; positives are weighted by negatives per positive."""
+    checkpoint_root(df.sparkSession)  # the booster cuts its lineage there
     weight = scale_pos_weight(df, label).first().scale_pos_weight  # one number
     weighted = df.select(
         *features, F.col(label).cast("double").alias(label), F.when(F.col(label) == 1, weight).otherwise(1.0).alias("_weight")
@@ -120,3 +124,23 @@ def contributions(model: PipelineModel, df: DataFrame, features: Sequence[str],
         (F.col("_full") - F.col("_w.probability")).alias("contribution"),
         F.col("_own")[F.col("_w._case")].alias("value"),
     )
+
+
+def predict_with_drivers(
+    model: PipelineModel, df: DataFrame, features: Sequence[str], row: Sequence[str], threshold: float = DEFAULT_THRESHOLD,
+    hazard: str = "flood", k: int = TOP_DRIVERS, background: DataFrame | None = None,
+) -> DataFrame:
+    """The scores of `df` with `top_drivers`, the k features that move each score most."""
+    made = contributions(model, df, features, row, background).withColumn("_row", F.struct(*row))
+    drivers = driver_strings(made, k, "_row").select("_row.*", "top_drivers")
+    return score(model, df, threshold, hazard).join(drivers, list(row), "left")
+
+
+def landslide_inference_features(
+    points: DataFrame, features: DataFrame, as_of: str, bbox: BBox, cell_km: float = 1.0, key: Sequence[str] = ("point_id",)
+) -> DataFrame:
+    """The latest features, at or before the day `as_of`, of the grid cell that each point (lat, lon) lies in."""
+    latest = inference_features(features.withColumn("date", F.col("date").cast("timestamp_ntz")), as_of, ("grid_id",), "date")
+    latest = latest.withColumn("date", F.col("date").cast("date"))
+    placed = points_in_grid(points, bbox, cell_km).select(*key, "grid_id")
+    return placed.join(latest, "grid_id", "left")

@@ -104,21 +104,28 @@ def flat_cells(cells: DataFrame, value: str = "elevation", keys: Sequence[str] =
 def _line_distance(lines: pd.DataFrame) -> pd.DataFrame:
     """Squared distance along one raster line from squared distances down its columns.
 
-    Widens a shift k until k² exceeds the largest remaining distance, so the work per line is its
-    width times the largest distance found, in whole-array steps.
+    Each column with a void above or below it is a parabola over the line, and a cell's distance is
+    the lowest parabola there. The lower envelope is built left to right, in time linear in the width.
     """
     lines = lines.sort_values("col")
-    cols = lines["col"].to_numpy()
-    width = int(cols[-1] - cols[0]) + 1
-    start = np.full(width, np.inf)
-    start[cols - cols[0]] = lines["down2"].fillna(np.inf).to_numpy()
-    best, k = start.copy(), 1
-    while k < width and k * k < best.max():
-        np.minimum(best[k:], start[:-k] + k * k, out=best[k:])
-        np.minimum(best[:-k], start[k:] + k * k, out=best[:-k])
-        k += 1
-    found = best[cols - cols[0]]
-    return lines[["dem_id", "row", "col"]].assign(dist=np.where(np.isinf(found), np.nan, np.sqrt(found)))
+    place = lines[["dem_id", "row", "col"]]
+    known = lines["down2"].notna().to_numpy()
+    if not known.any():
+        return place.assign(dist=np.nan)
+    cols = lines["col"].to_numpy(dtype=float)
+    hull_at, hull_low, begins = [], [], []
+    for at, low in zip(cols[known].tolist(), lines["down2"].to_numpy(dtype=float)[known].tolist()):
+        begin = -np.inf
+        while hull_at:
+            begin = (low + at * at - hull_low[-1] - hull_at[-1] ** 2) / (2 * (at - hull_at[-1]))
+            if begin > begins[-1]:
+                break
+            hull_at.pop(), hull_low.pop(), begins.pop()
+            begin = -np.inf
+        hull_at.append(at), hull_low.append(low), begins.append(begin)
+    lowest = np.searchsorted(np.array(begins), cols, side="right") - 1
+    found = np.array(hull_low)[lowest] + (cols - np.array(hull_at)[lowest]) ** 2
+    return place.assign(dist=np.sqrt(found))
 
 
 def nodata_distance(cells: DataFrame, value: str = "elevation") -> DataFrame:

@@ -58,4 +58,16 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/freshet-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.freshet_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `materialize` wrote for `tables`, once no frame that is still wanted reads them."""
+    for table in tables:
+        path = getattr(table, "freshet_path", None)
+        context = getattr(table.sparkSession, "_jsc", None)
+        if path and context is not None:  # the file system is only reachable in the driver's own JVM
+            folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
