@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshet.llm import best_fit, extendible, fourier_quality, lsh_forest, secret_scan
-from freshet.llm.common import table
+from freshet.llm.common import small_batches, table
 from freshet.session import checkpoint_root
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,6 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality score reaches the threshold."""
+    small_batches(spark)
     model = fourier_quality.fit_on_labels(fourier_quality.statistics_of(docs), table(spark, sf_dir, "labels"))
     return docs.where(fourier_quality.score_of(F.col("text"), model) >= fourier_quality.ACCEPT).select(*COLUMNS)
 
@@ -26,11 +27,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents connected by a Jaccard similarity of 0.8 or more, the one with the smallest doc_id."""
+    small_batches(spark)
     return lsh_forest.drop_near_copies(docs).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts and n_chars counted anew."""
+    small_batches(spark)
     ratios = secret_scan.train(secret_scan.labelled_samples(docs))
     clean = docs.withColumn("text", secret_scan.masked(F.col("text"), ratios))
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
@@ -38,6 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of every document lies in the training sequences."""
+    small_batches(spark)
     return best_fit.pack_documents(docs)
 
 

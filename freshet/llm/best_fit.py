@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from freshet.llm.common import slices
+from freshet.llm.common import SLICE_BYTES, slices
 from freshet.llm.word_ids import default_vocabulary, encoder
 from freshet.session import materialize
 
@@ -26,7 +26,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES // 2):
             flat, counts = encoder(vocabulary).encode(batch.column("text"))
             ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
             counts = counts + 1

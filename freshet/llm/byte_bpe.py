@@ -174,9 +174,7 @@ def decoded(ids: Column, ranks: str | None = None, pattern: str | None = None) -
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the bytes they decode to."""
-    return encode(docs).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"),
+    coded = encode(docs).select(
+        "doc_id", "ids", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
     )
+    return coded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(decoded(F.col("ids")), 256).alias("decoded_sha256"))

@@ -25,7 +25,13 @@ def one_blank(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK_RUN, " ")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand Python about SLICE_BYTES at a time; its own bound would be eight times that."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +44,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         step = max(1, min(rows, rows * limit // max(1, batch.nbytes)))
         for start in range(0, rows, step):
             yield batch.slice(start, step)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def in_slices(function, limit: int = SLICE_BYTES):

@@ -30,7 +30,7 @@ class WordEncoder:
     all other words (and any string on which that count fails) are encoded one by one.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
