@@ -157,10 +157,12 @@ def zones_made(t):
     )
 
 
-@query("f6_zone_validity", "SELECT zone_id, hazard_type, lead_time_hours, valid_until FROM made_zones WHERE hazard_type = 'flood'")
+@query(
+    "f6_zone_validity",
+    """SELECT zone_id, hazard_type, CASE WHEN hazard_type = 'flood' THEN lead_time_hours END AS lead_time_hours, valid_until FROM made_zones""",
+)
 def validity(t):
-    made = made_zones(t).where("hazard_type = 'flood'")
-    return made.select("zone_id", "hazard_type", F.col("source_prediction.lead_time_hours").alias("lead_time_hours"), "valid_until")
+    return made_zones(t).select("zone_id", "hazard_type", F.col("source_prediction.lead_time_hours").alias("lead_time_hours"), "valid_until")
 
 
 @query("f7_zone_id", "SELECT zone_id, hazard_type, center_lat, center_lon FROM made_zones")

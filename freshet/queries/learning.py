@@ -352,15 +352,15 @@ CTES["ranked_drivers"] = """
     "t1_top_drivers",
     "SELECT row_id, "
     + ", ".join(
-        f"max(feature) FILTER (rank = {i}) AS top{i}_feature, round(max(contribution) FILTER (rank = {i}), 6) AS top{i}_contribution"
+        f"max(feature) FILTER (rank = {i}) AS top{i}_feature, round(max(contribution) FILTER (rank = {i}), 6) AS top{i}_contribution, round(max(contribution * 3) FILTER (rank = {i}), 6) AS top{i}_value"
         for i in range(1, 6)
     )
     + " FROM ranked_drivers GROUP BY 1",
 )
 def drivers(t):
-    wide = explain.top_drivers(t.contributions())
+    wide = explain.top_drivers(t.contributions().withColumn("value", F.col("contribution") * 3))
     return wide.select(
-        "row_id", *[c for i in range(1, 6) for c in (F.col(f"top{i}_feature"), r(f"top{i}_contribution"))]
+        "row_id", *[c for i in range(1, 6) for c in (F.col(f"top{i}_feature"), r(f"top{i}_contribution"), r(f"top{i}_value"))]
     )
 
 

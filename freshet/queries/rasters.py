@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from freshet.operators import drainage, extents, terrain
@@ -14,6 +16,8 @@ LEVELS = (0.5, 1.0, 2.0, 3.0, 5.0)
 THRESHOLD = 20
 OFFSETS = [(n, *terrain.D8_OFFSET[n], terrain.D8_CODE[n]) for n in terrain.COMPASS]
 
+STEPS = "(VALUES " + ", ".join(f"({dr}, {dc})" for _, dr, dc, _ in OFFSETS) + ") AS d(dr, dc)"
+
 CTES.update(
     {
         "nbr": "SELECT c.\"row\", c.col, c.elevation, d.k, d.code, d.dist, n.\"row\" AS nrow, n.col AS ncol, n.elevation AS nelev, n.\"row\" IS NOT NULL AS in_grid FROM cells c CROSS JOIN (VALUES "
@@ -32,6 +36,24 @@ CTES.update(
     }
 )
 
+CTES.update(
+    {
+        "filled_cells": """
+        SELECT "row", col, CASE WHEN n_valid = 8 AND elevation < lo THEN lo ELSE elevation END AS filled FROM around""",
+        "flat_filled": f"""
+        SELECT "row", col, filled, filled IS NOT NULL AND n_grid = same AS is_flat FROM (
+          SELECT c."row", c.col, c.filled, count(n."row") AS n_grid, count(*) FILTER (n.filled = c.filled) AS same
+          FROM filled_cells c CROSS JOIN {STEPS} LEFT JOIN filled_cells n ON n."row" = c."row" + dr AND n.col = c.col + dc GROUP BY ALL)""",
+        "void_distance": """
+        SELECT c."row", c.col, sqrt(min((c."row" - v."row") ** 2 + (c.col - v.col) ** 2)) AS dist
+        FROM cells c, cells v WHERE v.elevation IS NULL GROUP BY 1, 2""",
+        "tilted": """
+        SELECT "row", col, is_flat, filled,
+               CASE WHEN is_flat THEN filled + 0.0001::DOUBLE * coalesce(dist / (SELECT max(dist) FROM void_distance), 0) ELSE filled END AS conditioned
+        FROM flat_filled LEFT JOIN void_distance USING ("row", col)""",
+    }
+)
+
 # every cell with every cell at or below it on its flow path
 PATHS = """
     WITH RECURSIVE p AS (
@@ -129,19 +151,33 @@ def distance(t):
     return terrain.nodata_distance(t.cells()).select("row", "col", r("dist"))
 
 
-@query("r3_resolve_flats")
+@query(
+    "r3_resolve_flats",
+    """SELECT "row", col, is_flat, round(filled, 6) AS filled, round(conditioned, 9) AS conditioned FROM tilted""",
+)
 def tilted(t):
     return terrain.resolve_flats(materialize(terrain.fill_depressions(t.cells()))).select(
         "row", "col", "is_flat", r("filled"), r("conditioned", 9)
     )
 
 
-@query("a17_flat_stats")
+@query(
+    "a17_flat_stats",
+    f"""WITH again AS (
+      SELECT count(*) FILTER (elevation IS NOT NULL AND same = n_grid) AS n FROM (
+        SELECT c."row", c.col, c.conditioned AS elevation, count(n."row") AS n_grid, count(*) FILTER (n.conditioned = c.conditioned) AS same
+        FROM tilted c CROSS JOIN {STEPS} LEFT JOIN tilted n ON n."row" = c."row" + dr AND n.col = c.col + dc GROUP BY ALL))
+    SELECT 1::INTEGER AS dem_id, (count(*) FILTER (is_flat) - (SELECT n FROM again)) AS flats_resolved,
+           round(avg(abs(conditioned - filled)), 6) AS mean_gradient_added, round(max(abs(conditioned - filled)), 6) AS max_gradient_added FROM tilted""",
+)
 def flat_stats(t):
     return terrain.flat_stats(terrain.resolve_flats(materialize(terrain.fill_depressions(t.cells()))))
 
 
-@query("r4_condition_dem")
+@query(
+    "r4_condition_dem",
+    """SELECT "row", col, round(elevation, 6) AS elevation, round(conditioned, 9) AS conditioned FROM tilted JOIN cells USING ("row", col)""",
+)
 def conditioned(t):
     return terrain.condition_dem(t.cells())[0].select("row", "col", r("elevation"), r("conditioned", 9))
 
@@ -190,6 +226,11 @@ def hand(t):
 
 
 FLOODED = HAND + """, flooded AS (SELECT "row", col, level FROM hand, (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE), (5.0::DOUBLE)) AS l(level) WHERE hand < level)"""
+# the same chain on conditioned cells
+CTES["solid"] = 'SELECT "row", col, conditioned AS elevation FROM tilted'
+CTES["nbr_solid"] = CTES["nbr"].replace("cells", "solid")
+CTES["flow_solid"] = CTES["flow"].replace("cells", "solid").replace("FROM nbr", "FROM nbr_solid")
+CONDITIONED_FLOODED = re.sub(r"\bflow\b", "flow_solid", FLOODED)
 
 
 @query("p14_flood_mask", FLOODED + ' SELECT "row", col, level FROM flooded')
@@ -225,17 +266,49 @@ def outlines(t):
     return extents.outline_vertices(rows, meta(t)).select("level", "region", "ring", "position", "lon", "lat")
 
 
+@query(
+    "r10_outline_areas",
+    FLOODED + " SELECT level, count(*)::DOUBLE AS area_cells, 0.0::DOUBLE AS open_ends FROM flooded GROUP BY 1",
+)
+def outline_areas(t):
+    """The rings of each level, outer ones counted up and holes down, enclose as many cells as are flooded."""
+    flooded = materialize(terrain.flood_mask(handed(t), LEVELS))
+    keys = ("dem_id", "level")
+    rows = materialize(extents.rings(materialize(extents.regions(flooded, keys)), keys))
+    sizes = rows.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("vertices"))
+    following = rows.join(sizes, [*keys, "ring"]).select(
+        *keys, "ring", F.pmod(F.col("position") - 1, F.col("vertices")).alias("position"), F.col("vrow").alias("nrow"), F.col("vcol").alias("ncol")
+    )
+    turned = rows.join(following, [*keys, "ring", "position"], "left")
+    return turned.groupBy("level").agg(
+        F.abs(F.sum(F.col("vcol") * F.col("nrow") - F.col("ncol") * F.col("vrow")) / 2).alias("area_cells"),
+        F.count_if(F.col("nrow").isNull()).cast("double").alias("open_ends"),
+    )
+
+
+@query(
+    "r4_r10_conditioned_extent",
+    CONDITIONED_FLOODED + " SELECT level, count(*) AS num_cells FROM flooded GROUP BY 1",
+)
+def conditioned_extent(t):
+    """The whole chain on conditioned cells: fill, flats, D8, accumulation, HAND, extent."""
+    solid = terrain.condition_dem(t.cells())[0].withColumn("elevation", F.col("conditioned"))
+    flowing = materialize(terrain.flow_direction(solid.select("dem_id", "row", "col", "elevation")))
+    acc = materialize(terrain.channel_mask(drainage.flow_accumulation(flowing), THRESHOLD))
+    return extents.flood_extent(terrain.flood_mask(drainage.compute_hand(acc), LEVELS), meta(t)).select("level", "num_cells")
+
+
 def pour_points(t):
-    """Gauge positions near, but not on, the channels."""
+    """Gauge positions near, but not on, the channels, one for each row of the raster."""
     return t.read("supplier").select(
         raster_of(F.col("s_suppkey")),
         F.concat(F.lit("W"), "s_suppkey").alias("point_id"),
-        (F.col("s_suppkey") * 7 % 40).cast("int").alias("row"),
+        F.col("s_suppkey").cast("int").alias("row"),
         (F.col("s_suppkey") * 3 % 20).cast("int").alias("col"),
     )
 
 
-SNAP = ACC + """, pt AS (SELECT 'W' || s_suppkey AS point_id, (s_suppkey * 7 % 40)::INTEGER AS r0, (s_suppkey * 3 % 20)::INTEGER AS c0 FROM supplier),
+SNAP = ACC + """, pt AS (SELECT 'W' || s_suppkey AS point_id, s_suppkey::INTEGER AS r0, (s_suppkey * 3 % 20)::INTEGER AS c0 FROM supplier),
     snapped AS (SELECT * FROM (
       SELECT point_id, c."row", c.col, sqrt((c."row" - r0) ** 2 + (c.col - c0) ** 2) AS snap_distance, coalesce(flow_acc, 0) AS flow_acc,
              row_number() OVER (PARTITION BY point_id ORDER BY coalesce(flow_acc, 0) DESC, c."row", c.col) AS rn

@@ -233,7 +233,7 @@ def catalog(t):
 
 @query(
     "s2_read_custom_catalog",
-    """SELECT "timestamp", lat, lon, 'Line ' || l_linenumber AS event_type, 'CUSTOM_part' AS source FROM catalog_in""",
+    """SELECT "timestamp", lat, lon, 'Line ' || l_linenumber AS event_type, true AS source_is_file FROM catalog_in""",
 )
 def custom(t):
     raw = dated(t).select(
@@ -241,8 +241,13 @@ def custom(t):
         F.concat(F.lit("Line "), "l_linenumber").alias("Kind"),
     )
     names = {"When": "timestamp", "Y": "lat", "X": "lon", "Kind": "event_type"}
-    read = catalogs.read_custom_catalog(t.spark, landed_csv(t, raw), names)
-    return read.select("timestamp", "lat", "lon", "event_type", F.substring("source", 1, 11).alias("source"))
+    path = landed_csv(t, raw)
+    read = catalogs.read_custom_catalog(t.spark, path, names)
+    # Spark names the files it lands, so the whole source is held against the folder's own listing
+    listed = t.spark.read.format("binaryFile").load(path).select(
+        F.concat(F.lit("CUSTOM_"), F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)).alias("source"), F.lit(True).alias("source_is_file")
+    )
+    return read.join(listed, "source", "left").select("timestamp", "lat", "lon", "event_type", "source_is_file")
 
 
 @query("s3_read_inventory", "SELECT l_orderkey || '-' || l_linenumber AS landslide_id, round(lat, 6) AS lat, round(lon, 6) AS lon, date FROM slides")
@@ -268,7 +273,8 @@ def roundtrip(t):
     "s5_weather_store",
     """SELECT catchment_id, "timestamp", round(rainfall_mm, 6) AS rainfall_mm,
               substr(sha256('historical_' || catchment_id || '_' || strftime("timestamp", '%Y-%m-%d')), 1, 16) AS key
-       FROM rain_hourly WHERE "timestamp"::DATE >= DATE '2024-01-11'""",
+       FROM rain_hourly WHERE "timestamp"::DATE >= DATE '2024-01-11'
+       UNION ALL SELECT catchment_id, "timestamp", round(rainfall_mm, 6), 'late' FROM rain_hourly WHERE "timestamp"::DATE >= DATE '2024-01-20'""",
 )
 def store(t):
     from freshet.queries.gauges import rain_hourly
@@ -276,9 +282,10 @@ def store(t):
     path = scratch(t)
     datasets.write_weather(rain_hourly(t), path, "historical")
     datasets.prune_weather(t.spark, path, "2024-01-31", days=20)
-    return datasets.read_weather(t.spark, path, "historical", start="2024-01-05").select(
-        "catchment_id", "timestamp", r("rainfall_mm"), "key"
-    )
+    # what pruning left, and of that what a later start reads
+    left = datasets.read_weather(t.spark, path, "historical", start="2024-01-05")
+    late = datasets.read_weather(t.spark, path, "historical", start="2024-01-20").withColumn("key", F.lit("late"))
+    return left.unionByName(late).select("catchment_id", "timestamp", r("rainfall_mm"), "key")
 
 
 @query(
@@ -290,12 +297,13 @@ def station_dim(t):
         "station_id", F.lit(49.0).alias("warning_level"), F.lit(50.0).alias("danger_level"),
         F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
     )
-    path = scratch(t)
-    # one document per file, as stations are landed
-    docs.write.option("maxRecordsPerFile", 1).json(path)
-    return payloads.read_station_dim(t.spark, path).select(
-        "station_id", "warning_level", "danger_level", "latitude", "longitude"
-    )
+    lines, single = scratch(t), scratch(t)
+    # some land as one document per file, the bulk as lines
+    few = F.col("station_id").isin("ST1", "ST2", "ST3")
+    docs.where(few).write.option("maxRecordsPerFile", 1).json(single)
+    docs.where(~few).write.json(lines)
+    both = payloads.read_station_dim(t.spark, single).unionByName(payloads.read_station_dim(t.spark, lines, lines=True))
+    return both.select("station_id", "warning_level", "danger_level", "latitude", "longitude")
 
 
 @query("u1_union_of_stations", 'SELECT station_id, count(*) AS rows FROM (SELECT station_id FROM gauge UNION ALL SELECT catchment_id FROM rain_hourly) GROUP BY 1')

@@ -59,6 +59,6 @@ def parse_route_payload(df: DataFrame, payload: str = "payload", unit: float = M
     )
 
 
-def read_station_dim(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per station file."""
-    return spark.read.schema(STATION_SCHEMA).json(path, multiLine=True)
+def read_station_dim(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stations from one JSON document per file, or from JSON lines with `lines`."""
+    return spark.read.schema(STATION_SCHEMA).json(path, multiLine=not lines)

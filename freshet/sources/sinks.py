@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freshet.functions.series import salted_lookup
+
 
 def polygon_geometry(ring: Column) -> Column:
     """GeoJSON Polygon from an ARRAY<STRUCT<lon, lat>> ring."""
@@ -24,14 +26,12 @@ def zone_features(zones: DataFrame) -> DataFrame:
     return zones.select("hazard_type", "zone_id", F.to_json(feature).alias("feature"))
 
 
-def zone_collections(zones: DataFrame, shards: int = 64) -> DataFrame:
-    """FeatureCollections per hazard, sharded by zone so that no hazard is gathered into one row.
-
-    A reader concatenates a hazard's shards; with few zones most shards are simply absent.
-    """
-    shard = F.pmod(F.xxhash64("zone_id"), F.lit(shards))
+def zone_collections(zones: DataFrame, per_shard: int = 10_000) -> DataFrame:
+    """FeatureCollections per hazard, in shards of about `per_shard` zones; a reader concatenates a hazard's shards."""
+    sizes = zones.groupBy("hazard_type").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_shard)).alias("_shards"))
+    shard = F.pmod(F.xxhash64("zone_id"), F.col("_shards"))
     return (
-        zone_features(zones)
+        salted_lookup(zone_features(zones), sizes, ["hazard_type"], ["zone_id"], "inner")
         .groupBy("hazard_type", shard.alias("shard"))
         .agg(F.sort_array(F.collect_list("feature")).alias("_f"))
         .select(

@@ -1,5 +1,7 @@
 """Gauge and rain series: hand-made fixtures, and brute force over several slices and blocks."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -203,3 +205,17 @@ def test_feature_checks(spark):
     assert features.validate_features(df, ["b", "a"]).columns == ["b", "a"]
     with pytest.raises(ValueError, match="missing.*c.*extra.*b"):
         features.validate_features(df, ["a", "c"])
+
+
+def test_step_of_a_jittered_series_is_its_exact_median(spark):
+    from freshet.functions.series import step_hours
+
+    rng = random.Random(2)
+    at, rows = 1_704_067_200_000_000, []
+    for _ in range(30_000):
+        at += 3_600_000_000 + rng.randrange(-1_000_000_000, 1_000_000_000)
+        rows.append(("S", at))
+    df = spark.createDataFrame(rows, "station_id string, us bigint").select("station_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"))
+    gaps = sorted(b[1] - a[1] for a, b in zip(rows, rows[1:]))
+    assert len(set(gaps)) > 29_000
+    assert step_hours(df, ("station_id",), "timestamp").first().step_hours == pytest.approx(gaps[len(gaps) // 2] / 3.6e9, abs=1e-9)

@@ -254,3 +254,26 @@ def test_dem_quality_warnings(spark):
                                  "dem_id int, dx double, dy double, left double, top double, nodata double, crs string, is_geographic boolean")
     row = rasters.dem_quality(cells(spark, dem), meta).first()
     assert not row.valid and row.void_pct == 70.0 and len(row.warnings) == 3 and row.resolution == 111.32
+
+
+def test_row_distance_is_the_nearest_void_on_wide_lines(spark):
+    rng = np.random.default_rng(5)
+    dem = np.where(rng.random((7, 300)) < 0.004, np.nan, 1.0)
+    dem[3, 17] = np.nan
+    void = np.argwhere(np.isnan(dem))
+    found = grid(terrain.nodata_distance(cells(spark, dem)), "dist", dem.shape)
+    for (r, c), _ in np.ndenumerate(dem):
+        assert found[r, c] == pytest.approx(np.sqrt(((void - (r, c)) ** 2).sum(axis=1).min()))
+    assert np.isnan(grid(terrain.nodata_distance(cells(spark, np.ones((3, 50)))), "dist", (3, 50))).all()
+
+
+def test_loops_remove_the_tables_they_supersede(spark):
+    import os
+
+    from freshet.session import checkpoint_root
+
+    root = checkpoint_root(spark).removeprefix("file:")
+    flowing = terrain.flow_direction(cells(spark, [[40.0 - r - c for c in range(20)] for r in range(20)]))
+    before = set(os.listdir(root))
+    drainage.flow_accumulation(flowing).collect()
+    assert len(set(os.listdir(root)) - before) == 1  # what the result reads
