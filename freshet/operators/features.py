@@ -17,6 +17,7 @@ from freshet.functions.series import (
     salted_lookup,
     step_hours,
 )
+from freshet.session import materialize
 
 # Default lags and windows in days, and the non-feature columns of both data sets.
 LAG_DAYS = (1, 2, 3, 5, 7)
@@ -56,6 +57,7 @@ def windowed_features(
 
     Days become row counts through the series' step: `step` hours when the caller knows it, else
     each series' own median step. Frames count rows, as irregular series shift by rows, not time.
+    Series with a whole number of rows a day take one sort for all columns, the others one per count.
     """
     days = [d for ds in lags.values() for d in ds] + [d for ds, _ in rolls.values() for d in ds]
     if not days:
@@ -82,26 +84,40 @@ def windowed_features(
         "_step", F.coalesce("step_hours", F.lit(1.0))
     )
     counts = {d: F.floor(F.lit(d * 24.0) / F.col("_step")).cast("bigint") for d in set(days)}
-    named = stepped.withColumns({f"_n_{d}": n for d, n in counts.items()})
+    daily = F.floor(F.lit(24.0) / F.col("_step")).cast("bigint")
+    named = stepped.withColumns(
+        # a whole number of rows a day makes every count a multiple of it
+        {"_a_day": daily, "_whole": (daily >= 1) & (daily * F.col("_step") == 24.0), **{f"_n_{d}": n for d, n in counts.items()}}
+    )
     reach = F.greatest(F.col(f"_n_{max(days)}"), F.lit(1)).cast("bigint")
-    blocks = in_blocks(named, keys, time, reach).withColumn(
-        "_base", F.col(BLOCK) * F.greatest(reach, F.lit(BLOCK_ROWS))
+    blocks = materialize(
+        in_blocks(named, keys, time, reach).withColumn("_base", F.col(BLOCK) * F.greatest(reach, F.lit(BLOCK_ROWS)))
     )
-    blocks = blocks.withColumns(
+
+    def widened(rows: DataFrame, at, per_day) -> DataFrame:
+        """All columns, where `at(d)` orders the rows and moves by `per_day(d)` over the rows of d days."""
+        new = {}
+        for c, ds in lags.items():
+            for d in ds:
+                back = W.partitionBy(*keys, BLOCK).orderBy(at(d)).rangeBetween(-per_day(d), -per_day(d))
+                new[f"{c}_lag_{d}"] = F.when(F.col(f"_n_{d}") == 0, F.col(c)).otherwise(F.max(c).over(back))
+        for c, (ds, aggs) in rolls.items():
+            for d in ds:
+                frame = W.partitionBy(*keys, BLOCK).orderBy(at(d)).rangeBetween(-(per_day(d) - 1), 0)
+                for a in aggs:
+                    new[roll_name.format(column=c, days=d, agg=a)] = AGGREGATES[a](c).over(frame)
+        return home_rows(rows.withColumns(new))
+
+    whole = blocks.where("_whole").withColumn("_at", _scaled_position(F.col("_a_day")))
+    other = blocks.where("not _whole").withColumns(
         {f"_at_{d}": _scaled_position(F.greatest(F.col(f"_n_{d}"), F.lit(1))) for d in counts}
     )
-    new = {}
-    for c, ds in lags.items():
-        for d in ds:
-            back = W.partitionBy(*keys, BLOCK).orderBy(f"_at_{d}").rangeBetween(-_SCALE, -_SCALE)
-            new[f"{c}_lag_{d}"] = F.when(F.col(f"_n_{d}") == 0, F.col(c)).otherwise(F.max(c).over(back))
-    for c, (ds, aggs) in rolls.items():
-        for d in ds:
-            frame = W.partitionBy(*keys, BLOCK).orderBy(f"_at_{d}").rangeBetween(-(_SCALE - 1), 0)
-            for a in aggs:
-                new[roll_name.format(column=c, days=d, agg=a)] = AGGREGATES[a](c).over(frame)
-    helper = ["_base", "_step", "step_hours", *[f"_n_{d}" for d in counts], *[f"_at_{d}" for d in counts]]
-    return home_rows(blocks.withColumns(new)).drop(*helper)
+    helper = ["_base", "_step", "step_hours", "_a_day", "_whole", "_at", *[f"_n_{d}" for d in counts], *[f"_at_{d}" for d in counts]]
+    parts = [
+        widened(whole, lambda d: "_at", lambda d: d * _SCALE).drop(*helper),
+        widened(other, lambda d: f"_at_{d}", lambda d: _SCALE).drop(*helper),
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 def lag_features(df, columns, days=LAG_DAYS, keys=("station_id",), time="timestamp", step=None) -> DataFrame:

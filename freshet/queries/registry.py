@@ -18,8 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = "2024-01-15 12:00:00"
 # Stand-ins keep their density at any scale: so many users make one gauge, and so many suppliers and
-# customers share a tile of two degrees (60 tiles by latitude, then 179 by longitude).
-GAUGE_USERS, TILE_ZONES, TILE_USERS = 8, 100, 1500
+# customers share a tile of two degrees (60 tiles by latitude, then 179 by longitude). Rain is scaled
+# by a number that leaves no short decimals, so that two engines never round a tie differently.
+GAUGE_USERS, TILE_ZONES, TILE_USERS = 10, 100, 1500
 
 
 def query(name: str, sql: str | None = None):
@@ -34,7 +35,7 @@ def query(name: str, sql: str | None = None):
 
 CTES: dict[str, str] = {
     "gauge_raw": """
-        SELECT 'ST' || (user_id // 8) AS station_id, date_trunc('hour', ts)::TIMESTAMP AS "timestamp",
+        SELECT 'ST' || (user_id // 10) AS station_id, date_trunc('hour', ts)::TIMESTAMP AS "timestamp",
                47 + value / 41 AS water_level, 49.0::DOUBLE AS warning_level,
                50.0::DOUBLE AS danger_level, event_id AS seq
         FROM events""",
@@ -43,9 +44,9 @@ CTES: dict[str, str] = {
                49.0::DOUBLE AS warning_level, 50.0::DOUBLE AS danger_level
         FROM gauge_raw GROUP BY station_id, "timestamp" """,
     "rain_points": """
-        SELECT 'ST' || (user_id // 8) AS catchment_id, event_type AS point_id,
+        SELECT 'ST' || (user_id // 10) AS catchment_id, event_type AS point_id,
                date_trunc('hour', ts)::TIMESTAMP AS "timestamp",
-               sum(value) / 53 AS precipitation, 15 + avg(value) / 53 AS temperature_2m
+               sum(value) / 53.000377::DOUBLE AS precipitation, 15 + avg(value) / 53 AS temperature_2m
         FROM events GROUP BY 1, 2, 3""",
     "rain_hourly": """
         SELECT catchment_id, "timestamp", avg(precipitation) AS rainfall_mm,
@@ -209,7 +210,7 @@ class Tables:
                 F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("timestamp"),
             )
             .agg(
-                (F.sum("value") / 53).alias("precipitation"),
+                (F.sum("value") / 53.000377).alias("precipitation"),
                 (15 + F.avg("value") / 53).alias("temperature_2m"),
             )
         )

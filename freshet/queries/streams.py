@@ -26,7 +26,7 @@ def drained(t, stream):
 @query(
     "st3_gauge_watch",
     """
-    WITH gauge_at AS (SELECT 'ST' || (user_id // 8) AS station_id, ts AS "timestamp", 47 + value / 41 AS water_level FROM events),
+    WITH gauge_at AS (SELECT 'ST' || (user_id // 10) AS station_id, ts AS "timestamp", 47 + value / 41 AS water_level FROM events),
     lim AS (SELECT max("timestamp") - INTERVAL 1 HOUR AS mark FROM gauge_at),
     hourly AS (SELECT station_id, date_trunc('hour', "timestamp")::TIMESTAMP AS hour, avg(water_level) AS mean_level,
                       max(water_level) AS max_level FROM gauge_at GROUP BY 1, 2)
