@@ -138,7 +138,9 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch], least: float) -> Iterato
     """For each pair of blocks of a bucket: edges that connect what the MinHash values call similar."""
     for _, rows in runs(batches, ["tree", "prefix", "lo", "hi"]):
         nodes = rows.column("rep").to_numpy()
-        values = np.frombuffer(b"".join(rows.column("values").to_pylist()), "<u2").reshape(len(nodes), -1)
+        order = np.argsort(nodes)  # stars of one group then have one centre in every tree
+        nodes = nodes[order]
+        values = np.frombuffer(b"".join(rows.column("values").to_pylist()), "<u2").reshape(len(nodes), -1)[order]
         same = np.zeros((len(nodes), len(nodes)), np.uint16)
         for j in range(values.shape[1]):
             same += values[:, j][:, None] == values[:, j][None, :]
