@@ -54,11 +54,15 @@ def bucket(degrees: Column, size: float = BUCKET_DEGREES) -> Column:
 
 
 def covering_buckets(lat: Column, lon: Column, reach_km: Column, size: float = BUCKET_DEGREES) -> Column:
-    """All (by, bx) buckets touched by the box around a circle of `reach_km`."""
+    """All (by, bx) buckets touched by the box around a circle of `reach_km`.
+
+    Near a pole the box spans all longitudes; it ends at the poles and at a full turn either way, so a
+    centre never unrolls more than its rows times that. Longitudes are not wrapped, as in `planar_km`.
+    """
     up = reach_km / KM_PER_DEGREE + _EDGE
     across = reach_km / (KM_PER_DEGREE * F.greatest(F.cos(F.radians(lat)), F.lit(1e-6))) + _EDGE
-    rows = F.sequence(bucket(lat - up, size), bucket(lat + up, size))
-    cols = F.sequence(bucket(lon - across, size), bucket(lon + across, size))
+    rows = F.sequence(bucket(F.greatest(lat - up, F.lit(-90.0)), size), bucket(F.least(lat + up, F.lit(90.0)), size))
+    cols = F.sequence(bucket(F.greatest(lon - across, F.lit(-360.0)), size), bucket(F.least(lon + across, F.lit(360.0)), size))
     return F.flatten(
         F.transform(rows, lambda y: F.transform(cols, lambda x: F.struct(y.alias("by"), x.alias("bx"))))
     )

@@ -10,6 +10,7 @@ from freshet.functions.ordering import global_ordinal
 from freshet.functions.risk import SEVERITY_RANK, choose
 from freshet.operators.alerts import half_even, text
 from freshet.operators.zones import NEAR_KM, near_zones
+from freshet.session import materialize
 
 # Tiers, their margins beyond the zone edge, list lengths, actions and texts.
 STAY_AWAY_KM, DIVERT_KM = 1.0, 3.0
@@ -105,6 +106,7 @@ def priority_counts(decisions: DataFrame) -> DataFrame:
 
 def evacuation_waves(decisions: DataFrame, order: Sequence[str], limit: int = MAX_EVACUEES) -> DataFrame:
     """When more than `limit` users must evacuate, spread them round-robin over three waves."""
+    decisions = materialize(decisions)  # read twice below
     evacuees = decisions.where(F.col("priority") == "P0")
     others = decisions.where(F.col("priority") != "P0")
     numbered = global_ordinal(evacuees, [*order], "_n", total="_total")

@@ -9,6 +9,7 @@ from freshet.operators import quality
 from freshet.operators.labels import label_floods, label_summary
 from freshet.plans.flood import labelled_gauges
 from freshet.queries.registry import CTES, query
+from freshet.session import materialize
 
 
 def r(name: str, digits: int = 6):
@@ -204,7 +205,7 @@ def flags(t):
 
 @query("w6_flood_label", f"SELECT {LABEL_COLUMNS} FROM labelled_raw")
 def labels(t):
-    return label_columns(label_floods(t.gauge()))
+    return label_columns(label_floods(materialize(t.gauge())))
 
 
 @query(
@@ -212,7 +213,7 @@ def labels(t):
     """SELECT station_id, "timestamp", round(lead_time_hours, 6) AS lead_time_hours FROM labelled_raw WHERE label = 0""",
 )
 def lead(t):
-    return label_floods(t.gauge()).where("label = 0").select("station_id", "timestamp", r("lead_time_hours"))
+    return label_floods(materialize(t.gauge())).where("label = 0").select("station_id", "timestamp", r("lead_time_hours"))
 
 
 @query(
@@ -222,7 +223,7 @@ def lead(t):
 )
 def islands(t):
     return (
-        label_floods(t.gauge()).where("event_id IS NOT NULL").groupBy("station_id", "event_id")
+        label_floods(materialize(t.gauge())).where("event_id IS NOT NULL").groupBy("station_id", "event_id")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("started"), F.max("timestamp").alias("ended"))
     )
 
@@ -234,7 +235,7 @@ def islands(t):
 )
 def event_stats(t):
     return (
-        label_floods(t.gauge()).where("event_id IS NOT NULL")
+        label_floods(materialize(t.gauge())).where("event_id IS NOT NULL")
         .select("station_id", "event_id", r("event_duration_hours"), r("peak_level", 9)).distinct()
     )
 

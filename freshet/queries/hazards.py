@@ -308,11 +308,8 @@ def status(t):
     "SELECT user_id, zone_id FROM near WHERE distance_km > radius_km",
 )
 def nearby_only(t):
-    from pyspark.sql import DataFrame  # noqa: F401
-
-    near = zones.near_zones(t.users(), active(t), zones.NEAR_KM).select("user_id", "zone_id")
-    within = zones.points_in_zones(t.users(), active(t)).select("user_id", "zone_id")
-    return near.join(within, ["user_id", "zone_id"], "left_anti")
+    near = zones.near_zones(t.users(), active(t), zones.NEAR_KM)
+    return near.where(~F.col("is_inside")).select("user_id", "zone_id")
 
 
 @query(

@@ -9,6 +9,7 @@ from freshet.operators.labels import label_floods
 from freshet.plans import landslide
 from freshet.queries.gauges import r
 from freshet.queries.registry import CTES, query
+from freshet.session import materialize
 
 BBOX = (91.0, 25.0, 92.0, 26.0)
 CELL_KM = 10.0
@@ -146,7 +147,7 @@ def with_terrain(t):
 
 @query("t10_negative_sampling", "SELECT grid_id, date, label, num_events FROM cell_sampled")
 def sampled(t):
-    return grid.negative_sampling(cell_labels(t), 2).select("grid_id", "date", "label", "num_events")
+    return grid.negative_sampling(materialize(cell_labels(t)), 2).select("grid_id", "date", "label", "num_events")
 
 
 @query(
@@ -291,7 +292,7 @@ def weight(t):
        FROM labelled_raw WHERE water_level >= 49 AND label = 0 AND lead_time_hours IS NOT NULL""",
 )
 def lead_stats(t):
-    warned = label_floods(t.gauge()).withColumn("prediction", (F.col("water_level") >= F.col("warning_level")).cast("int"))
+    warned = label_floods(materialize(t.gauge())).withColumn("prediction", (F.col("water_level") >= F.col("warning_level")).cast("int"))
     stats = evaluation.lead_time_stats(warned)
     return stats.select(*[r(c) for c in stats.columns])
 
@@ -394,4 +395,4 @@ def important(t):
 
 @query("u3_positives_and_negatives", "SELECT label, count(*) AS rows FROM cell_sampled GROUP BY 1")
 def united(t):
-    return grid.negative_sampling(cell_labels(t), 2).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    return grid.negative_sampling(materialize(cell_labels(t)), 2).groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
