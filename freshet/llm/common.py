@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from freshet.session import materialize
+from freshet.session import discard, materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
@@ -26,7 +26,7 @@ def one_blank(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Spark hand Python about SLICE_BYTES at a time; its own bound would be eight times that."""
+    """Let Spark hand Python about SLICE_BYTES at a time; its own bound is far higher."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
 
 
@@ -93,7 +93,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select("e.*")
         .distinct()
     )
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    latest = labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
     while True:
         other = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         best = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
@@ -101,14 +101,16 @@ def components(edges: DataFrame) -> DataFrame:
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = materialize(
+        moved = materialize(
             taken.join(far, "label", "left").select(
                 "node", "old", F.least("label", F.coalesce("far", "label")).alias("label")
             )
         )
-        if labels.where("label < old").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        discard(latest)
+        latest, labels = moved, moved.select("node", "label")
+        if moved.where("label < old").isEmpty():
+            discard(both)
+            return labels
 
 
 def checked_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:

@@ -30,11 +30,17 @@ class WordEncoder:
     all other words (and any string on which that count fails) are encoded one by one.
     """
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for pieces that are normalised and split already: the same merges without those steps
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.keep = keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -64,16 +70,16 @@ class WordEncoder:
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
+        found = list(map(young.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        again = {w: old[w] for w in (words[k] for k in missing) if w in old}
+        young.update(again)
+        new = [words[k] for k in missing if words[k] not in again]
         if new:
             self._learn(new)
-        return list(map(young.__getitem__, words))
+        for k in missing:
+            found[k] = young[words[k]]
+        return found
 
     def _learn(self, new: list[str]) -> None:
         if len(self.pieces) > self.keep:
@@ -99,7 +105,7 @@ class WordEncoder:
         self.young.update({w: b"".join([known[p] for p in c]) for w, c in cut.items()})
 
     def _pieces(self, pieces: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.merges.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(pieces):
             raw = ids.tobytes()
