@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,15 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
         step = max(1, min(rows, rows * limit // max(1, batch.nbytes)))
         for start in range(0, rows, step):
             yield batch.slice(start, step)
-    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+    _release()  # the worker lives on for other tasks
+
+
+def _release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def in_slices(function, limit: int = SLICE_BYTES):

@@ -129,11 +129,12 @@ def _latin(word: str) -> bool:
     return True
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+KEEP_WORDS = 300_000
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per worker process, so that its cache serves every task of the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, keep: int = KEEP_WORDS) -> WordEncoder:
+    """One per worker process, so that its cache of some `keep` words serves every task of the worker."""
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = WordEncoder(path, keep)
+    return _ENCODERS[path, keep]
