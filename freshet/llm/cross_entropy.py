@@ -1,21 +1,27 @@
-"""Cross-entropy difference: two matched word-bigram models over one vocabulary score every document."""
+"""Cross-entropy difference: two matched word-bigram models over all words of the corpus score every document."""
 
 from __future__ import annotations
 
-import zlib
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.llm.common import checked_broadcast, slices
+from freshet.session import materialize
 
-VOCABULARY = 2048
-UNKNOWN = 16  # classes of words outside the vocabulary, by their length in bytes
-_BAND = 64  # rows of a count table that travel together
+UNKNOWN = 16  # classes of words no model knows, by their length in bytes
+_TOGETHER = 16 << 20  # bytes of text whose words and bigrams are counted together
+_BUCKETS, _BUCKET_BYTES = 256, 8 << 20  # ranges of keys: so many at least, and one for so many bytes of text
+_WORD, _HISTORY, _PAIR = 0, 1, 2  # what a key counts, in its two lowest bits
+_BEGIN = " "  # history of a text's first word; no word holds a blank
+_ZSTD = pa.Codec("zstd", 1)
 
 
 def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -40,132 +46,280 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"word": pa.array(kinds, pa.string()), "n": pa.array(n, pa.int64())})
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
+def vocabulary(docs: DataFrame, size: int) -> list[str]:
     """The `size` most frequent words over all documents; equal counts go by the word."""
     counted = docs.select("text").mapInArrow(_count_words, "word string, n bigint").where("n > 0")
     total = counted.groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-class Words:
-    """Numbers of words: 0 begins a text, then the vocabulary, then classes of unknown words by length."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The same rows in tables of about `_TOGETHER` bytes."""
+    held, size = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= _TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
-    def __init__(self, known: list[str]):
-        self.number = {w: k + 1 for k, w in enumerate(known)}
-        self.first_unknown = len(known) + 1
-        self.states = len(known) + 1 + UNKNOWN
 
-    def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(history * states + word) at every place, and each text's bounds and length."""
-        kinds, at, bounds = _split(texts)
-        unknown = self.first_unknown
-        lookup = self.number.get
-        number = np.array(
-            [lookup(w) or unknown + min(UNKNOWN - 1, len(w.encode()) // 2) for w in kinds], np.int64
-        ) if kinds else np.zeros(0, np.int64)
-        word = number[at]
-        history = np.concatenate(([0], word[:-1])) if len(word) else word
-        starts = bounds[:-1][bounds[:-1] < bounds[1:]]
-        history[starts] = 0
-        return history * self.states + word, bounds, np.diff(bounds)
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(table.column(name).chunks)
 
 
-def _count_pairs(words: Words):
-    """Bigram counts of target and background, banded by history and compressed; a set of bands per task."""
-    n = words.states
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _key(x: np.ndarray, what: int) -> np.ndarray:
+    return (_mixed(x) & ~np.uint64(3)) | np.uint64(what)
+
+
+class Places:
+    """Keys of the words, histories and bigrams of some texts, and the bigram at every place.
+
+    A key is a hash of 62 bits and what it counts. `keys` are sorted; what is counted in the order
+    words, histories, bigrams is brought into theirs by `order`.
+    """
+
+    def __init__(self, texts: pa.Array, known: frozenset[str] | None):
+        kinds, at, self.bounds = _split(texts)
+        if known is not None:
+            kinds = [w if w in known else f" {min(UNKNOWN - 1, len(w.encode()) // 2)}" for w in kinds]
+        digest = xxhash.xxh3_64_intdigest
+        hashes = np.fromiter((digest(w) for w in kinds), np.uint64, len(kinds))
+        hashes, same = np.unique(hashes, return_inverse=True)
+        self.word = same[at]
+        used = np.bincount(self.word, minlength=len(hashes)) > 0  # the empty word is none
+        hashes, self.word = hashes[used], (np.cumsum(used) - 1)[self.word]
+        n = self.n = len(hashes)
+        history = np.concatenate(([n], self.word[:-1])) if len(self.word) else self.word
+        history[self.bounds[:-1][self.bounds[:-1] < self.bounds[1:]]] = n
+        pairs, self.pair = np.unique(history * np.int64(max(n, 1)) + self.word, return_inverse=True)
+        self.history_of, self.word_of = np.divmod(pairs, max(n, 1))
+        all_hashes = np.append(hashes, np.uint64(digest(_BEGIN)))
+        both = all_hashes[self.history_of] * np.uint64(0x9E3779B97F4A7C15) + hashes[self.word_of]
+        keys = np.concatenate((_key(hashes, _WORD), _key(all_hashes, _HISTORY), _key(both, _PAIR)))
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self, weight: np.ndarray | None = None) -> np.ndarray:
+        """How often each key stands in the texts, where every place weighs 1 or `weight`."""
+        pairs = np.bincount(self.pair, weight, len(self.word_of))
+        words = np.bincount(self.word_of, pairs, self.n)
+        histories = np.bincount(self.history_of, pairs, self.n + 1)
+        return np.concatenate((words, histories, pairs))[self.order].astype(np.int64)
+
+    def parts(self, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one number a key, those of the words, histories and bigrams."""
+        plain = np.empty(len(totals))
+        plain[self.order] = totals
+        return plain[: self.n], plain[self.n : 2 * self.n + 1], plain[2 * self.n + 1 :]
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return _ZSTD.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def _keys_of(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(packed, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return _ZSTD.compress(counts.astype(np.int64).tobytes(), asbytes=True)
+
+
+def _counts_of(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(packed, 8 * n, asbytes=True), np.int64)
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Buckets are equal ranges of keys: those that hold some of the sorted `keys`, and which."""
+    starts = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    cuts = [0, *np.searchsorted(keys, starts).tolist(), len(keys)]
+    for bucket, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if a < b:
+            yield bucket, slice(a, b)
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """`df`, materialized; shuffle files of the job go when it ends, as keys of the whole corpus pass through them."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.set(name, before)
+
+
+_COUNTED = "bucket int, n int, keys binary, target binary, background binary"
+_SUMMED = _COUNTED + ", n_words bigint, target_words bigint, background_words bigint"
+
+
+def _count(buckets: int, known: frozenset[str] | None):
+    """Target and background counts of all keys of some texts, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((2, n * n), np.int32)
-        for batch in slices(batches):
-            pairs, _, sizes = words.pairs(batch.column("text"))
-            target = np.repeat(np.asarray(batch.column("target").to_pylist(), bool), sizes)
-            for k, own in enumerate((pairs[target], pairs)):
-                kinds, counts = np.unique(own, return_counts=True)
-                tables[k, kinds] += counts.astype(np.int32)
-        for k in range(2):
-            table = tables[k].reshape(n, n)
-            for band in range(0, n, _BAND):
-                part = table[band : band + _BAND]
-                if part.any():
-                    line = zlib.compress(part.astype(np.int64).tobytes(), 1)
-                    yield pa.RecordBatch.from_pydict(
-                        {"model": pa.array([k], pa.int32()), "band": pa.array([band], pa.int32()), "line": [line]}
-                    )
+        for table in _together(batches):
+            places = Places(_column(table, "text"), known)
+            marked = np.repeat(np.asarray(table.column("target").to_pylist(), np.float64), np.diff(places.bounds))
+            counts = places.counts(marked), places.counts()
+            rows = [
+                (bucket, at.stop - at.start, _packed_keys(places.keys[at]), *(_packed(c[at]) for c in counts))
+                for bucket, at in _by_bucket(places.keys, buckets)
+            ]
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "n", "keys", "target", "background"]
+                )
 
     return run
 
 
-@dataclass(frozen=True)
-class Models:
-    """Log chances of a word after a history, in a square table for each model."""
+def _sum(key, rows):
+    """One row for a bucket: its different keys and their counts over the whole corpus."""
+    sizes = rows.column("n").to_pylist()
+    keys = np.concatenate([_keys_of(p, n) for p, n in zip(rows.column("keys").to_pylist(), sizes)])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sums = [
+        np.add.reduceat(np.concatenate([_counts_of(p, n) for p, n in zip(rows.column(c).to_pylist(), sizes)])[order], first)
+        for c in ("target", "background")
+    ]
+    keys = keys[first]
+    words = (keys & np.uint64(3)) == _WORD
+    row = (key[0].as_py(), len(keys), _packed_keys(keys), *map(_packed, sums), int(words.sum()), *(int(s[words].sum()) for s in sums))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    names = [c.split()[0] for c in _SUMMED.split(", ")]
+    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
-    words: Words
-    target: np.ndarray
-    background: np.ndarray
 
+@dataclass(frozen=True)
+class Models:
+    """Counts of both models as a table of buckets of keys, and what smoothing needs of the whole corpus."""
 
-def _log_chances(counts: np.ndarray, weight: float) -> np.ndarray:
-    """Dirichlet-smoothed bigram chances: `weight` pseudo-counts of the add-one unigram model per history."""
-    single = counts.sum(axis=0) + 1.0
-    single[0] = 0.0  # the beginning of a text is never predicted
-    single /= single.sum()
-    chances = (counts + weight * single) / (counts.sum(axis=1, keepdims=True) + weight)
-    return np.log(np.maximum(chances, 1e-12)).astype(np.float32)
+    totals: DataFrame
+    buckets: int
+    known: frozenset[str] | None
+    n_words: int  # different words and classes of unknown ones
+    target_words: int
+    background_words: int
+    weight: float
 
 
-def fit(docs: DataFrame, target: DataFrame, size: int = VOCABULARY, weight: float = 64.0) -> Models:
+def fit(docs: DataFrame, target: DataFrame, size: int | None = None, weight: float = 64.0) -> Models:
     """Bigram models of the documents whose ids are in `target` (doc_id) and of all documents.
 
-    Counts cover every word of every document. Both models use the vocabulary of the whole corpus,
-    one order and one smoothing, and the background's counts are scaled to the target's number of
-    words, so that the smoothing weighs the same in both. The driver holds two square tables of
-    `size` + 17 states, whatever the corpus. Null texts have no words and null ids are no targets.
+    Counts cover every word of every document. Both models use the words of the whole corpus, one
+    order and one smoothing, `weight` pseudo-counts of the add-one unigram model for a history, and
+    the background's counts are scaled to the target's number of words, so that the smoothing
+    weighs the same in both. Words, histories and bigrams are counted under hashes of 62 bits, once
+    for some 16 MB of text, and summed by ranges of hashes, whose number follows the corpus; the
+    driver gets three sums. `size` keeps only the most frequent words apart, and 16 classes of
+    others by length; by default all are. Null texts have no words and null ids are no targets.
     """
-    words = Words(vocabulary(docs, size))
-    n = words.states
+    known = None if size is None else frozenset(vocabulary(docs, size))
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(_BUCKETS, -(-text_bytes // _BUCKET_BYTES))
     chosen = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
     marked = docs.select("doc_id", "text").join(checked_broadcast(chosen), "doc_id", "left")
     marked = marked.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    totals = _written(marked.mapInArrow(_count(buckets, known), _COUNTED).groupBy("bucket").applyInArrow(_sum, _SUMMED))
+    sums = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "target_words", "background_words"))).first()
+    different = sums[0] if known is None else len(known)
+    return Models(totals.select("bucket", "n", "keys", "target", "background"), buckets, known, different + UNKNOWN, *sums[1:], weight)
+
 
-    def add(key, rows):
-        parts = [np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in rows.column("line")]
-        total = zlib.compress(np.sum(parts, axis=0).tobytes(), 1)
-        return pa.table({"model": [key[0].as_py()], "band": [key[1].as_py()], "line": [total]},
-                        schema=pa.schema([("model", pa.int32()), ("band", pa.int32()), ("line", pa.binary())]))
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts and their ids, a row for some 16 MB of text."""
+    first = TaskContext.get().partitionId() << 32
+    for k, table in enumerate(_together(batches)):
+        sink = io.BytesIO()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([first + k], pa.int64()), "body": pa.array([sink.getvalue()], pa.binary())})
 
-    schema = "model int, band int, line binary"
-    summed = marked.mapInArrow(_count_pairs(words), schema).groupBy("model", "band").applyInArrow(add, schema)
-    tables = np.zeros((2, n, n))
-    for row in summed.toLocalIterator():
-        part = np.frombuffer(zlib.decompress(row["line"]), np.int64).reshape(-1, n)
-        tables[row["model"], row["band"] : row["band"] + len(part)] = part
-    if tables[1].sum() and tables[0].sum():
-        tables[1] *= tables[0].sum() / tables[1].sum()
-    return Models(words, _log_chances(tables[0], weight), _log_chances(tables[1], weight))
+
+def _texts_of(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
 
 
 def losses(docs: DataFrame, models: Models) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, target_loss, background_loss and their difference, per word.
 
     Losses are mean negative log chances of whole texts; a lower difference is closer to the target.
+    Slices of some 16 MB of text ask each bucket for the counts of their different keys, so that no
+    key is asked more than once a slice, however frequent, and score their texts with the answers.
     Texts without words (null ones too) have zero losses. Repeated rows are scored each; other
     columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        tables = held.target.ravel(), held.background.ravel()
-        for batch in slices(batches):
-            pairs, bounds, sizes = held.words.pairs(batch.column("text"))
-            means = []
-            for table in tables:
-                upto = np.concatenate(([0.0], np.cumsum(table[pairs], dtype=np.float64)))[bounds]
-                means.append(-np.diff(upto) / np.maximum(sizes, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(m) for m in means), pa.array(means[0] - means[1])],
-                names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
-            )
-
+    buckets, known, weight, n_words = models.buckets, models.known, models.weight, models.n_words
+    scaled = models.target_words > 0 and models.background_words > 0
+    scales = (1.0, models.target_words / models.background_words if scaled else 1.0)
+    sizes_of = (models.target_words, models.target_words if scaled else models.background_words)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, body in zip(batch.column("slice").to_pylist(), batch.column("body")):
+                keys = Places(_column(_texts_of(body.as_py()), "text"), known).keys
+                rows = [(bucket, number, at.stop - at.start, _packed_keys(keys[at])) for bucket, at in _by_bucket(keys, buckets)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                    names=["bucket", "slice", "n", "keys"],
+                )
+
+    def answer(key, asked, totals):
+        held, counts = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2
+        if totals.num_rows:
+            n = totals.column("n")[0].as_py()
+            held = _keys_of(totals.column("keys")[0].as_py(), n)
+            counts = [_counts_of(totals.column(c)[0].as_py(), n) for c in ("target", "background")]
+        counts = [np.append(c, 0) for c in counts]
+        out = []
+        for number, n, packed in zip(*(asked.column(c).to_pylist() for c in ("slice", "n", "keys"))):
+            keys = _keys_of(packed, n)
+            at = np.searchsorted(held, keys)
+            at[np.append(held, np.uint64(0))[at] != keys] = len(held)  # never counted
+            out.append((number, key[0].as_py(), n, *(_packed(c[at]) for c in counts)))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        columns = list(zip(*out)) or [[]] * 5
+        return pa.Table.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["slice", "bucket", "n", "target", "background"]
+        )
+
+    def score(key, bodies, answers):
+        table = _texts_of(bodies.column("body")[0].as_py())
+        places = Places(_column(table, "text"), known)
+        answers = answers.sort_by("bucket")
+        lengths = answers.column("n").to_pylist()
+        sizes, means = np.diff(places.bounds), []
+        for name, scale, total in zip(("target", "background"), scales, sizes_of):
+            found = np.concatenate([_counts_of(p, n) for p, n in zip(answers.column(name).to_pylist(), lengths)])
+            words, histories, pairs = (scale * c for c in places.parts(found))
+            single = (words + 1.0) / (total + n_words)
+            logs = np.log((pairs + weight * single[places.word_of]) / (histories[places.history_of] + weight))
+            upto = np.concatenate(([0.0], np.cumsum(logs[places.pair])))[places.bounds]
+            means.append(-np.diff(upto) / np.maximum(sizes, 1))
+        return pa.Table.from_arrays(
+            [table.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(m) for m in means), pa.array(means[0] - means[1])],
+            names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+        )
+
+    cut = materialize(docs.select("doc_id", "text").mapInArrow(_cut, "slice bigint, body binary"))
+    asked = cut.mapInArrow(ask, "bucket int, slice bigint, n int, keys binary")
+    answers = _written(
+        asked.groupBy("bucket").cogroup(models.totals.groupBy("bucket"))
+        .applyInArrow(answer, "slice bigint, bucket int, n int, target binary, background binary")
+    )
     schema = "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return cut.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)

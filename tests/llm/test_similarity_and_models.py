@@ -217,6 +217,21 @@ def test_losses_prefer_the_target_and_stand_awkward_rows(spark):
     assert all(math.isfinite(r["difference"]) for r in cross_entropy.losses(odd, empty).collect())
 
 
+def test_losses_know_every_word(spark):
+    common = " ".join(f"w{k}" for k in range(2100))
+    rows = [(k, common + " " + ("alpha omega" if k < 3 else "gamma delta")) for k in range(6)] + [(10, "alpha omega"), (11, "gamma delta"), (12, "never seen")]
+    seen = spark.createDataFrame(rows[:6], "doc_id bigint, text string")
+    models = cross_entropy.fit(seen, seen.where("doc_id < 3"))
+    got = {r["doc_id"]: r for r in cross_entropy.losses(spark.createDataFrame(rows, "doc_id bigint, text string"), models).collect()}
+    assert got[10]["difference"] < got[12]["difference"] < got[11]["difference"]
+    assert got[0]["difference"] < got[3]["difference"]
+    small = [(k, f"a b c{k % 5} a rare{k} word{k % 3}") for k in range(30)]
+    docs = spark.createDataFrame(small, "doc_id bigint, text string")
+    want = naive_losses(small, set(range(10)), 10_000, 64.0)
+    for r in cross_entropy.losses(docs, cross_entropy.fit(docs, docs.where("doc_id < 10"))).collect():
+        assert (r["target_loss"], r["background_loss"]) == pytest.approx(want[r["doc_id"]], abs=1e-9)
+
+
 # --- quotations
 
 TALK = [
