@@ -26,7 +26,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # state 0: before the first and after the last character
 MIN_CHARS = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
-_MIXED = re.compile(r"[0-9][^A-Za-z]*[A-Za-z]|[A-Za-z][^0-9]*[0-9]")
 _STATE = np.zeros(256, np.int64)
 _STATE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, STATES)
 
@@ -112,6 +111,18 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     return random_strings(docs.sparkSession).unionByName(docs.select("text", F.lit(0).alias("label")))
 
 
+def _beside(start: int, end: int, spans: list[tuple[int, str, int]]) -> Iterator[tuple[int, int]]:
+    """The parts from `start` to `end` that no span covers."""
+    for s, _, e in sorted(spans):
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def _spans(texts: pa.Array, ratios: np.ndarray, least: float) -> list[list[tuple[int, str, int]]]:
     """All spans per text: the base spans, and candidates beside them whose ratio is at least `least`."""
     hits = pc.match_substring_regex(texts, KEYWORD, ignore_case=True).to_pylist()
@@ -119,8 +130,7 @@ def _spans(texts: pa.Array, ratios: np.ndarray, least: float) -> list[list[tuple
     for row, (text, keyword) in enumerate(zip(texts.to_pylist(), hits)):
         spans = base_spans(text, keyword)
         for m in CANDIDATE.finditer(text):
-            if _MIXED.search(m.group()) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-                candidates.append((row, m.start(), m.end(), m.group()))
+            candidates += [(row, a, e, text[a:e]) for a, e in _beside(m.start(), m.end(), spans)]
         found.append(spans)
     if candidates:
         joined = np.frombuffer(("\n" + "\n".join(c[3] for c in candidates) + "\n").encode(), np.uint8)
@@ -142,9 +152,9 @@ SCAN = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha2
 def scan(docs: DataFrame, ratios: np.ndarray, least: float = 12.0) -> DataFrame:
     """One row per row of `docs` (doc_id, text): spans of secrets as kind:start:end in code points, end exclusive.
 
-    Base kinds come from fixed patterns. A candidate is a run of at least 20 characters with letters
-    and digits that touches no base span; it is `random` when the log-likelihood ratio of a
-    random-string model to the identifier model is at least `least`. Null text is empty and has no
+    Base kinds come from fixed patterns. Candidates are what base spans leave of runs of at least 20
+    characters, each part by itself and however short; one is `random` when the log-likelihood ratio
+    of a random-string model to the identifier model is at least `least`. Null text is empty and has no
     spans; repeated rows are scanned each; other columns are ignored.
     """
 
