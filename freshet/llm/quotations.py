@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.ordering import global_ordinal
-from freshet.functions.series import salted_lookup, with_previous
+from freshet.functions.series import salted_lookup
 from freshet.llm.common import BLANKS, one_blank
 from freshet.session import materialize
 
 MARK = r"^(?:[\x20\t]*>)+"
 ATTRIBUTION = r"^.{1,200} wrote:$"
+SENTENCE_END = "(?<=[.!?]) |(?<=[。！？])"
 
 
 def _normal(text: Column) -> Column:
@@ -59,23 +60,25 @@ def parse(messages: DataFrame) -> DataFrame:
         "n_quoted_lines": F.size(quoted).cast("bigint"),
         "quote_levels": F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).cast("bigint"),
         "passages": F.filter(_passages(F.col("lines")), lambda x: x["level"] > 0),
+        # other levels end a passage like blank lines
+        "quoted_text": F.array_join(F.transform("lines", lambda x: F.when(x["level"] == 1, x["text"]).otherwise("")), "\n"),
     })
 
 
-def _originals(own: Column) -> Column:
-    """What a quotation may hold of a message: its whole text, its paragraphs and its lines, normalised."""
-    parts = F.concat(F.array(own), F.split(own, r"\n[\x20\t]*\n"), F.split(own, "\n"))
-    return F.filter(F.array_distinct(F.transform(parts, _normal)), lambda x: x != "")
+def _units(text: Column, *more: Column) -> Column:
+    """What is compared of a text: the whole, its paragraphs, lines and sentences, and `more` strings, normalised."""
+    parts = F.transform(F.concat(F.array(text), F.split(text, r"\n[\x20\t]*\n"), F.split(text, "\n"), *more), _normal)
+    sentences = F.flatten(F.transform(parts, lambda x: F.transform(F.split(x, SENTENCE_END), lambda y: F.btrim(y))))
+    return F.filter(F.array_distinct(F.concat(parts, sentences)), lambda x: x != "")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
     """One row per row of `messages` (conv_id, turn, role, text), without quotes and in reply order.
 
-    A line's level is its number of leading `>` marks. Consecutive quoted lines of a level form a
-    passage; passages and the texts, paragraphs and lines of messages are normalised (lower case,
-    blanks collapsed) and hashed, and a passage belongs to the last message before it in its
-    conversation that holds it. The parent is the latest message that the level-1 passages come
-    from; deeper levels are parsed and removed, as they repeat what the parent quotes. Messages that
+    A line's level is its number of leading `>` marks. Level-1 passages and the own texts of messages
+    are taken apart into paragraphs, lines and sentences, which are normalised (lower case, blanks
+    collapsed) and hashed, so that excerpts are found too. The parent is the message before it in its
+    conversation that holds most of these units, the latest of equals; deeper levels are parsed and removed, as they repeat what the parent quotes. Messages that
     quote nothing known begin a thread. A thread follows its root, its messages by turn, so that
     every parent precedes its replies; `position` counts from 0 in a conversation. An attribution
     line ("... wrote:") before a quote goes with it.
@@ -93,22 +96,15 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     parsed = materialize(parse(base).drop("lines").withColumn("row", F.monotonically_increasing_id()))
     key = ["c_null", "c", "hash", "size"]
     hashed = [F.xxhash64("p").alias("hash"), F.length("p").alias("size")]
-    quotes = parsed.select("c_null", "c", "t", F.explode(F.filter("passages", lambda x: x["level"] == 1)).alias("q")).select(
-        "c_null", "c", "t", _normal(F.col("q.text")).alias("p")
-    )
+    runs = F.transform(F.filter("passages", lambda x: x["level"] == 1), lambda x: x["text"])
+    quotes = parsed.where(F.size(runs) > 0).select("c_null", "c", "t", F.explode(_units(F.col("quoted_text"), runs)).alias("p"))
     wanted = materialize(quotes.select("c_null", "c", "t", *hashed).distinct())
     held = parsed.join(wanted.select("c_null", "c").distinct(), ["c_null", "c"], "left_semi").select(
-        "c_null", "c", "t", F.explode(_originals(F.col("own_text"))).alias("p")
-    )
-    both = (
-        wanted.select(*key, "t", F.lit(True).alias("quote"), F.lit(False).alias("original"))
-        .unionByName(held.select("c_null", "c", *hashed, "t", F.lit(False).alias("quote"), F.lit(True).alias("original")))
-        .groupBy(*key, "t").agg(F.max("quote").alias("quote"), F.max("original").alias("original"))
+        "c_null", "c", "t", F.explode(_units(F.col("own_text"))).alias("p")
     )
-    met = with_previous(both, key, "t", [], "found", F.col("original"))
-    parents = materialize(
-        met.where("quote").groupBy("c_null", "c", "t").agg(F.max("found.t").alias("parent")).where("parent is not null")
-    )
+    originals = held.select("c_null", "c", F.col("t").alias("parent"), *hashed).distinct()
+    matched = wanted.join(originals, key).where("parent < t").groupBy("c_null", "c", "t", "parent").agg(F.count(F.lit(1)).alias("n"))
+    parents = materialize(matched.groupBy("c_null", "c", "t").agg(F.max_by("parent", F.struct("n", "parent")).alias("parent")))
     at = ["c_null", "c", "t"]
     roots = parents.select(*at, F.col("parent").alias("root"))
     while True:

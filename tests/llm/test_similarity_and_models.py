@@ -272,6 +272,19 @@ def test_quotations_find_their_messages(spark):
     assert got[1, 3]["quote_levels"] == 2 and got[1, 3]["n_quoted_lines"] == 3
 
 
+def test_excerpts_find_their_messages(spark):
+    plan = "First line of the plan\nsecond line of it\nthird line. And one sentence more! Then the end.\n\nA new paragraph.\n\nThe last one."
+    rows = [
+        (1, 0, "u", plan), (1, 1, "a", "second line of it"), (1, 2, "u", "> First line of the plan\n> second line of it\nyes"),
+        (1, 3, "u", "> and one sentence  more!\nwhy"), (1, 4, "u", "> A new paragraph.\n>\n> The last one.\nfine by me"),
+        (1, 5, "u", "> A new paragraph.\n\n> third line. And one\n> sentence more!\nhm"), (1, 6, "u", "> second line of it\nwhich?"),
+        (1, 7, "u", "> nobody said this.\nreally"),
+    ]
+    talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["turn"]: r["parent_turn"] for r in quotations.link_quotations(talk).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: 0, 6: 1, 7: None}
+
+
 def test_quotation_sql_says_the_same(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
