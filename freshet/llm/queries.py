@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import best_fit, byte_bpe, cross_entropy, extendible, fourier_quality, line_frequency, lsh_forest, quotations, secret_scan, simple8b
+from freshet.llm import best_fit, byte_bpe, cross_entropy, extendible, fourier_quality, line_frequency, lsh_forest, quotations, secret_scan, simple8b, warc
 from freshet.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fourier_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simple8b_ids": op2_simple8b_ids,
@@ -62,9 +66,11 @@ QUERIES = {
     "op8_extendible_dedup": op8_extendible_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fourier_quality": op10_fourier_quality,
+    "op11_warc_archives": op11_warc_archives,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.ORACLE,
     "op7_quotation_links": quotations.ORACLE,
     "op8_extendible_dedup": extendible.ORACLE,
+    "op11_warc_archives": warc.ORACLE,
 }
