@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import best_fit, byte_bpe, cross_entropy, extendible, fourier_quality, line_frequency, lsh_forest, quotations, secret_scan, simple8b, warc
+from freshet.llm import best_fit, byte_bpe, collocations, cross_entropy, extendible, fourier_quality, line_frequency, lsh_forest, quotations, secret_scan, simple8b, warc
 from freshet.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simple8b_ids": op2_simple8b_ids,
@@ -67,10 +71,12 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_fourier_quality": op10_fourier_quality,
     "op11_warc_archives": op11_warc_archives,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.ORACLE,
     "op7_quotation_links": quotations.ORACLE,
     "op8_extendible_dedup": extendible.ORACLE,
     "op11_warc_archives": warc.ORACLE,
+    "op12_phrase_collocations": collocations.ORACLE,
 }
