@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm import best_fit, byte_bpe, collocations, cross_entropy, extendible, fourier_quality, line_frequency, lsh_forest, quotations, secret_scan, simple8b, warc
+from freshet.llm import best_fit, byte_bpe, collocations, cross_entropy, extendible, fourier_quality, line_frequency, lsh_forest, prefix_trie, quotations, secret_scan, simple8b, warc
 from freshet.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op2_simple8b_ids": op2_simple8b_ids,
@@ -72,6 +76,7 @@ QUERIES = {
     "op10_fourier_quality": op10_fourier_quality,
     "op11_warc_archives": op11_warc_archives,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.ORACLE,
@@ -79,4 +84,5 @@ ORACLES = {
     "op8_extendible_dedup": extendible.ORACLE,
     "op11_warc_archives": warc.ORACLE,
     "op12_phrase_collocations": collocations.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
