@@ -287,12 +287,14 @@ class Counting:
         self.last = {1: -1}  # per length, the latest start of a cycle
         self.n_reached = 0
 
-    def run(self) -> DataFrame:
-        """Finished phrases (k, key, prefix, suffix, n) with n >= threshold."""
+    def run(self) -> DataFrame | None:
+        """Finished phrases (k, key, prefix, suffix, n) with n >= threshold; None if there are none."""
         stop = 0
         while stop <= max(self.last.values()) + self.shards:
             self._stop(stop)
             stop += 1
+        if not self.finished:
+            return None
         out = self.finished[0]
         for more in self.finished[1:]:
             out = out.unionByName(more)
@@ -429,7 +431,7 @@ def collocations(
     docs.select("text", "lang").mapInArrow(_tokenize(seed, shards), TOKENS).write.partitionBy("shard").parquet(path)
     scanned = spark.read.schema(TOKENS).parquet(path)
     counting = Counting(scanned, shards, longest, threshold)
-    finished = counting.run() if not scanned.isEmpty() else None
+    finished = counting.run()
     if finished is None:
         return spark.createDataFrame([], "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint")
     seen = scanned.where("word is not null")

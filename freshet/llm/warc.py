@@ -315,7 +315,7 @@ class WarcReader(DataSourceReader):
             return
         store, _ = _store(self.path)
         rows, held = [], 0
-        with store.open_input_stream(partition.path, buffer_size=1 << 20) as stream:
+        with store.open_input_stream(partition.path, compression=None, buffer_size=1 << 20) as stream:
             try:
                 for record in read_records(stream, self.strict):
                     held += len(record["payload"] or b"") + 300 if self.payload else 300
@@ -345,7 +345,7 @@ class WarcWriter(DataSourceArrowWriter):
         dictionary = train_dictionary(sample)
         while sample:
             names.append(f"{uuid.uuid4().hex}{SUFFIX}")
-            with store.open_output_stream(f"{root}/{self.attempts}/{names[-1]}") as out:
+            with store.open_output_stream(f"{root}/{self.attempts}/{names[-1]}", compression=None) as out:
                 write_records(out, _upto(out, sample, records, self.limit), dictionary)
             sample = [r for r in [next(records, None)] if r is not None]
         return Written(tuple(names))
