@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.functions.clock import stamp
 from freshet.functions.risk import classify_risk, confidence, estimate_lead_time
 from freshet.operators.evaluation import scale_pos_weight
-from freshet.operators.explain import TOP_DRIVERS, driver_strings
 from freshet.operators.grid import BBox, points_in_grid
 from freshet.session import checkpoint_root
 
@@ -70,6 +69,11 @@ def with_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
     return scored.select(*df.columns, "probability")
 
 
+def with_margin(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """`df` with the model's raw margin, half the log-odds of the event."""
+    return model.transform(df).withColumn("model_margin", vector_to_array("rawPrediction")[1]).select(*df.columns, "model_margin")
+
+
 def score(
     model: PipelineModel, df: DataFrame, threshold: float = DEFAULT_THRESHOLD, hazard: str = "flood",
     quality: str | None = None, cached: bool = True,
@@ -126,16 +130,6 @@ def contributions(model: PipelineModel, df: DataFrame, features: Sequence[str],
     )
 
 
-def predict_with_drivers(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], row: Sequence[str], threshold: float = DEFAULT_THRESHOLD,
-    hazard: str = "flood", k: int = TOP_DRIVERS, background: DataFrame | None = None,
-) -> DataFrame:
-    """The scores of `df` with `top_drivers`, the k features that move each score most."""
-    made = contributions(model, df, features, row, background).withColumn("_row", F.struct(*row))
-    drivers = driver_strings(made, k, "_row").select("_row.*", "top_drivers")
-    return score(model, df, threshold, hazard).join(drivers, list(row), "left")
-
-
 def landslide_inference_features(
     points: DataFrame, features: DataFrame, as_of: str, bbox: BBox, cell_km: float = 1.0, key: Sequence[str] = ("point_id",)
 ) -> DataFrame:

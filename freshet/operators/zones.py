@@ -17,6 +17,7 @@ LANDSLIDE_HOURS = 24
 DEFAULT_LEAD_HOURS = 12
 DEFAULT_PROBABILITY = 0.5
 DEFAULT_RISK = "MEDIUM"
+COMBINED_DRIVERS = 3
 NEAR_KM = 5.0
 NEARBY_LISTED = 5
 REQUEST_BOUNDS = {
@@ -233,12 +234,24 @@ def blocked_segments(zones: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def combined_risk(landslide: DataFrame, flood: DataFrame, station: str = "station_id", spread: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Landslide result per location with the flood result of its station, and the worse of both."""
-    side = flood.select(
-        station, F.col("probability").alias("flood_probability"), F.col("risk_level").alias("flood_risk")
-    )
-    both = salted_lookup(landslide, side, [station], spread)
+def combined_risk(
+    landslide: DataFrame, flood: DataFrame, station: str = "station_id", spread: Sequence[str] = ("user_id",), k: int = COMBINED_DRIVERS
+) -> DataFrame:
+    """Per location: its landslide answer, the flood answer of its station, and the worse level of both.
+
+    Landslide rows have risk_level, flood rows risk_level and probability; `susceptibility`,
+    `lead_time_hours` and `top_drivers` (strongest first; the first `k` are kept) are carried where
+    they are given. Flood columns are null for a location without a station or one that no answer
+    exists for. Levels rank HIGH, MEDIUM, LOW, NEGLIGIBLE; without any, the risk is UNKNOWN.
+    """
+    names = {"probability": "flood_probability", "risk_level": "flood_risk", "lead_time_hours": "lead_time_hours"}
+    carried = [F.col(c).alias(n) for c, n in names.items() if c in flood.columns]
+    if "top_drivers" in flood.columns:
+        carried.append(F.slice("top_drivers", 1, k).alias("flood_drivers"))
+    located = landslide
+    if "top_drivers" in landslide.columns:
+        located = landslide.withColumn("landslide_drivers", F.slice("top_drivers", 1, k)).drop("top_drivers")
+    both = salted_lookup(located, flood.select(station, *carried), [station], spread)
     return both.withColumn(
         "overall_risk", F.coalesce(worst(RISK_RANK, F.col("risk_level"), F.col("flood_risk")), F.lit("UNKNOWN"))
     )

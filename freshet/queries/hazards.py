@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import geo, risk
 from freshet.functions.clock import stamp
-from freshet.operators import alerts, targeting, zones
+from freshet.operators import alerts, explain, targeting, zones
 from freshet.queries.gauges import r
 from freshet.queries.registry import AS_OF, CTES, query
 from freshet.sources import sinks
@@ -332,22 +332,46 @@ def blocked(t):
     )
 
 
+LEVEL = "CASE WHEN {0} >= 0.6 THEN 4 WHEN {0} >= 0.3 THEN 3 WHEN {0} >= 0.1 THEN 2 ELSE 1 END"
+
+
 @query(
     "j12_combined_risk",
-    """
-    WITH loc AS (SELECT user_id, 'ST' || (seq % 300) AS station_id, (seq * 7919 % 1000) / 1000.0::DOUBLE AS p FROM users),
-    l AS (SELECT *, CASE WHEN p >= 0.6 THEN 4 WHEN p >= 0.3 THEN 3 WHEN p >= 0.1 THEN 2 ELSE 1 END AS lr FROM loc),
-    f AS (SELECT station_id, CASE WHEN probability >= 0.6 THEN 4 WHEN probability >= 0.3 THEN 3 WHEN probability >= 0.1 THEN 2 ELSE 1 END AS fr FROM stations)
-    SELECT user_id, station_id, ['NEGLIGIBLE','LOW','MEDIUM','HIGH'][lr] AS risk_level, ['NEGLIGIBLE','LOW','MEDIUM','HIGH'][fr] AS flood_risk,
+    f"""
+    WITH d AS (SELECT row_id, string_agg(feature || CASE WHEN contribution >= 0 THEN '+' ELSE '-' END || printf('%.3f', abs(contribution)), ' ' ORDER BY rank) AS drivers
+               FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) AS rank FROM contributions)
+               WHERE rank <= 3 GROUP BY 1),
+    loc AS (SELECT user_id, seq, 'ST' || (seq // 12) AS station_id, (seq * 7919 % 1000) / 1000.0::DOUBLE AS p FROM users),
+    l AS (SELECT loc.*, {LEVEL.format("p")} AS lr, drivers AS landslide_drivers FROM loc LEFT JOIN d ON row_id = seq),
+    f AS (SELECT station_id, probability, {LEVEL.format("probability")} AS fr, drivers AS flood_drivers,
+            CASE WHEN probability >= 0.8 THEN 2 WHEN probability >= 0.6 THEN 6 WHEN probability >= 0.3 THEN 18 ELSE 42 END AS lead_time_hours
+          FROM stations LEFT JOIN d ON row_id = key)
+    SELECT user_id, station_id, round(p, 6) AS susceptibility, ['NEGLIGIBLE','LOW','MEDIUM','HIGH'][lr] AS risk_level, landslide_drivers,
+           round(probability, 6) AS flood_probability, ['NEGLIGIBLE','LOW','MEDIUM','HIGH'][fr] AS flood_risk, lead_time_hours, flood_drivers,
            ['NEGLIGIBLE','LOW','MEDIUM','HIGH'][greatest(lr, coalesce(fr, 0))] AS overall_risk
     FROM l LEFT JOIN f USING (station_id)""",
 )
 def combined(t):
+    drivers = explain.driver_strings(t.contributions())
     k = F.col("seq")
     p = (k * 7919 % 1000) / 1000.0
-    slides = t.users().select("user_id", F.concat(F.lit("ST"), k % 300).alias("station_id"), risk.classify_risk(p).alias("risk_level"))
-    flood = t.stations().select("station_id", "probability", risk.classify_risk(F.col("probability")).alias("risk_level"))
-    return zones.combined_risk(slides, flood).select("user_id", "station_id", "risk_level", "flood_risk", "overall_risk")
+    slides = t.users().select(
+        "user_id", k.cast("bigint").alias("row_id"), F.concat(F.lit("ST"), F.floor(k / 12)).alias("station_id"),
+        p.alias("susceptibility"), risk.classify_risk(p).alias("risk_level"),
+    ).join(drivers, "row_id", "left")
+    flood = t.stations().select(
+        F.col("key").cast("bigint").alias("row_id"), "station_id", "probability",
+        risk.classify_risk(F.col("probability")).alias("risk_level"), risk.estimate_lead_time(F.col("probability")).alias("lead_time_hours"),
+    ).join(drivers, "row_id", "left")
+    made = zones.combined_risk(slides, flood)
+
+    def joined(c):
+        return F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda d: F.concat(d["feature"], d["impact"])), " ")).alias(c)
+
+    return made.select(
+        "user_id", "station_id", r("susceptibility"), "risk_level", joined("landslide_drivers"), r("flood_probability"), "flood_risk",
+        "lead_time_hours", joined("flood_drivers"), "overall_risk",
+    )
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.functions import risk
-from freshet.operators import evaluation, explain, features, models, splits
+from freshet.operators import attribution, evaluation, explain, features, models, splits
 from freshet.plans import landslide
 from freshet.queries import learning
 from freshet.queries.features import FLOOD_NAMES, W12_SQL, flood_rows
@@ -150,7 +150,9 @@ def floors(t):
 def explained(t):
     """Every score with its five strongest drivers: as many, in order of size, each with its sign."""
     model, names, thresholds = loaded(t)
-    out = models.predict_with_drivers(model, test_rows(t), names, ["station_id", "timestamp"], threshold=thresholds["optimal_threshold"])
+    out = attribution.predict_with_drivers(
+        model, test_rows(t), names, ["station_id", "timestamp"], thresholds["optimal_threshold"], trees=trees(t)
+    )
     sizes = F.transform("top_drivers", lambda d: F.abs(d["impact"].cast("double")))
     return out.select(
         "station_id", "timestamp", F.size("top_drivers").alias("drivers"), (F.sort_array(sizes, False) == sizes).alias("strongest_first"),
@@ -220,6 +222,58 @@ def point_in_time(t):
     )
 
 
+def trees(t, hazard: str = "flood"):
+    return attribution.booster(attribution.booster_nodes(t.spark, f"{saved(t, hazard)}/model"))
+
+
+@query("m6_attributions")
+def attributed(t):
+    """Exact contributions of every feature to the margin of every test row."""
+    _, names, _ = loaded(t)
+    made = attribution.attributions(trees(t), test_rows(t), names, ["station_id", "timestamp"])
+    return made.select("station_id", "timestamp", "feature", r("contribution"), r("value"), r("base_value"), r("margin"))
+
+
+def additive(model, boosted, rows, names, key):
+    """Per row: number of features, number of missing values, and whether base value and contributions give the model's own margin."""
+    made = attribution.attributions(boosted, rows, names, key)
+    per_row = made.groupBy(*key).agg(
+        F.count_distinct("feature").cast("int").alias("features"), (F.sum("contribution") + F.any_value("base_value")).alias("total"),
+        F.count_if(F.col("value").isNull()).cast("int").alias("missing"),
+    )
+    own = models.with_margin(model, rows).select(*key, "model_margin")
+    return per_row.join(own, key).withColumn("additive", F.abs(F.col("total") - F.col("model_margin")) < 1e-6)
+
+
+MISSING_VALUES = " + ".join(f"({n} IS NULL)::INTEGER" for n in FLOOD_NAMES)
+
+
+@query(
+    "m6_additivity",
+    f"""WITH {TEST.replace('SELECT station_id, "timestamp" FROM featured, c', 'SELECT featured.* FROM featured, c')}
+    SELECT station_id, "timestamp", {len(FLOOD_NAMES)} AS features, {MISSING_VALUES} AS missing, true AS additive
+    FROM test""",
+)
+def additivity(t):
+    """Contributions and the base value sum to the raw margin of the model that Spark itself applies, for every test row."""
+    model, names, _ = loaded(t)
+    made = additive(model, trees(t), test_rows(t), names, ["station_id", "timestamp"])
+    return made.select("station_id", "timestamp", "features", "missing", "additive")
+
+
+@query(
+    "m6_landslide_additivity",
+    f"""WITH {SLIDE_ROWS}, o AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM sampled),
+    c AS (SELECT min(date) AS cut FROM o WHERE i >= floor(n * 0.8))
+    SELECT grid_id, date, 21 AS features, true AS additive FROM sampled, c WHERE date >= cut""",
+)
+def slide_additivity(t):
+    """The same for the landslide model's test rows."""
+    model, names, _ = loaded(t, "landslide")
+    made = additive(model, trees(t, "landslide"), slide_rows(t).where("split = 'test'"), names, ["grid_id", "date"])
+    return made.select("grid_id", "date", "features", "additive")
+
+
 @query("m6_contributions")
 def contributions(t):
     model, names, _ = loaded(t)

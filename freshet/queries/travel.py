@@ -288,6 +288,27 @@ def store(t):
     return left.unionByName(late).select("catchment_id", "timestamp", r("rainfall_mm"), "key")
 
 
+@query(
+    "s5_weather_merge",
+    """WITH n AS (SELECT *, substr(catchment_id, 3)::BIGINT AS k FROM rain_hourly)
+    SELECT catchment_id, "timestamp", round(CASE WHEN k % 3 = 0 THEN 2 * rainfall_mm ELSE rainfall_mm END, 6) AS rainfall_mm, 'historical' AS kind FROM n
+    UNION ALL SELECT catchment_id, "timestamp", round(rainfall_mm, 6), 'forecast' FROM n WHERE k % 2 = 0""",
+)
+def merged_store(t):
+    """Catchments arrive in turns, some dates of some come again, and one kind leaves the other alone."""
+    from freshet.queries.gauges import rain_hourly
+
+    path, rain = scratch(t), rain_hourly(t)
+    k = F.substring("catchment_id", 3, 20).cast("bigint")
+    for part in (rain.where(k % 2 == 0), rain.where(k % 2 == 1)):
+        datasets.write_weather(part, path, "historical")
+    datasets.write_weather(rain.where(k % 2 == 0), path, "forecast")
+    again = rain.where(k % 3 == 0).withColumn("rainfall_mm", 2 * F.col("rainfall_mm"))
+    for _ in range(2):  # a repeat replaces only its own rows
+        datasets.write_weather(again, path, "historical")
+    return datasets.read_weather(t.spark, path).select("catchment_id", "timestamp", r("rainfall_mm"), "kind")
+
+
 @query(
     "s9_station_dim",
     """SELECT station_id, 49.0::DOUBLE AS warning_level, 50.0::DOUBLE AS danger_level, lat AS latitude, lon AS longitude FROM stations""",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from freshet.functions.clock import as_col
 from freshet.operators.catchments import request_key
+from freshet.session import discard, materialize
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -21,10 +23,12 @@ def read_dataset(spark: SparkSession, path: str, schema: StructType | str, fmt:
 
 
 def write_weather(weather: DataFrame, path: str, kind: str, time: str = "timestamp") -> None:
-    """Append to the store laid out as kind=/date=, files sorted by catchment.
+    """Merge into the store laid out as kind=/date=, files sorted by catchment.
 
-    Catchments are too many for directories; sorting lets row-group statistics find one. Only the
-    dates present in `weather` are replaced.
+    A (kind, catchment, date) that `weather` holds is replaced whole; all others stay. Catchments are
+    too many for directories, so the touched dates are rewritten: what stays of them is staged in the
+    shared folder first. Sorting lets row-group statistics find a catchment. Rows without a time have
+    no date and go to the store's default partition.
     """
     keyed = weather.withColumns(
         {
@@ -33,6 +37,11 @@ def write_weather(weather: DataFrame, path: str, kind: str, time: str = "timesta
             "key": request_key(F.lit(kind), as_col("catchment_id"), F.date_format(time, "yyyy-MM-dd")),
         }
     )
+    stored = _stored(weather.sparkSession, path)
+    staged = None
+    if stored is not None:
+        staged = _untouched(stored.where(F.col("kind") == kind), keyed)
+        keyed = keyed.unionByName(staged, allowMissingColumns=True)
     (
         keyed.repartition("date", F.pmod(F.xxhash64("catchment_id"), F.lit(16)))
         .sortWithinPartitions("date", "catchment_id", time)
@@ -42,6 +51,33 @@ def write_weather(weather: DataFrame, path: str, kind: str, time: str = "timesta
         .partitionBy("kind", "date")
         .parquet(path)
     )
+    if staged is not None:
+        discard(staged)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store as it is, or None before the first write."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _untouched(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Stored rows of the incoming dates whose (catchment, date) does not come in, written apart."""
+    touched = materialize(incoming.select(F.col("catchment_id").alias("_catchment"), F.col("date").alias("_date")).distinct())
+    span = touched.agg(F.min("_date").alias("first"), F.max("_date").alias("last"), F.bool_or(F.col("_date").isNull()).alias("undated")).first()
+    near = F.col("date").between(F.lit(span.first), F.lit(span.last))  # prunes partitions; the joins decide
+    if span.undated:
+        near = near | F.col("date").isNull()
+    dates = touched.select("_date").distinct()
+    same_day = F.col("date").eqNullSafe(F.col("_date"))
+    same_key = same_day & F.col("catchment_id").eqNullSafe(F.col("_catchment"))
+    kept = materialize(stored.where(near).join(dates, same_day, "left_semi").join(touched, same_key, "left_anti"))
+    discard(touched)
+    return kept
 
 
 def read_weather(

@@ -21,7 +21,7 @@ SAMPLE = [
 ]
 WITHOUT_SQL = {
     "r10_flood_outlines", "r11_catchment_outline",
-    "m3_train", "m4_score", "m4_score_evaluated", "m6_contributions", "s12_model_artifacts",
+    "m3_train", "m4_score", "m4_score_evaluated", "m6_contributions", "m6_attributions", "s12_model_artifacts",
 }
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="supplied tables not present")
