@@ -13,7 +13,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.series import salted_lookup
+from freshet.functions.ordering import running_totals
+from freshet.functions.tours import cut_cycles, forest_intervals, pairs_under
 from freshet.operators.terrain import D8_CODE, D8_OFFSET
 from freshet.session import discard, materialize
 
@@ -218,12 +219,13 @@ def snap_pour_points(points: DataFrame, cells: DataFrame, radius: int = 5) -> Da
     )
 
 
-def delineate_catchments(cells: DataFrame, points: DataFrame, valid: str = "elevation", strict: bool = True) -> DataFrame:
-    """All cells draining to each pour point (dem_id, point_id, row, col): rows (point_id, row, col).
+def outlet_tree(cells: DataFrame, points: DataFrame, valid: str = "elevation", strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Disjoint basins, the tree of their outlets, and the points on it.
 
-    Each cell first learns the nearest pour point below it; a catchment is then the union of those
-    areas over the pour points that drain into it. With `strict`, a point outside the grid or on
-    nodata fails.
+    Returns basins (dem_id, cell, pour), where `pour` is the nearest pour point at or below a cell;
+    outlets (dem_id, pour, enter, leave), whose catchment is all basins with an `enter` inside the interval;
+    and points (dem_id, point_id, pour). With `strict`, a point outside the grid or on nodata fails.
+    Pour points on one cycle of the flow share a catchment.
     """
     linked = materialize(downstream(cells, valid).select("dem_id", "cell", "to"))
     # the grid cell decides; several points may share one
@@ -234,9 +236,9 @@ def delineate_catchments(cells: DataFrame, points: DataFrame, valid: str = "elev
         placed = placed.withColumn("cell", F.when(F.col("_on"), F.col("cell")).otherwise(problem))
     else:
         placed = placed.where(F.col("_on"))
-    placed = materialize(placed.drop("_on"))
-    outlets = placed.select("dem_id", "cell").distinct().withColumn("_pour", F.lit(True))
-    marked = linked.join(outlets, ["dem_id", "cell"], "left")
+    placed = materialize(placed.select("dem_id", "point_id", F.col("cell").alias("pour")))
+    outlets = placed.select("dem_id", "pour").distinct()
+    marked = linked.join(outlets.select("dem_id", F.col("pour").alias("cell"), F.lit(True).alias("_pour")), ["dem_id", "cell"], "left")
     end = F.col("_pour").isNotNull() | F.col("to").isNull()
     state = marked.select(
         "dem_id",
@@ -245,13 +247,36 @@ def delineate_catchments(cells: DataFrame, points: DataFrame, valid: str = "elev
         end.alias("done"),
         F.when(F.col("_pour"), F.col("cell")).alias("pour"),
     )
-    labelled = _follow(
+    basins = _follow(
         state, lambda: {"pour": F.lit(None).cast("bigint")}, lambda: {"pour": F.col("v_pour")}, ["pour"]
-    ).where(F.col("pour").isNotNull())
-    chains = _pour_chains(labelled, outlets.select("dem_id", "cell"), linked)
-    # the points each area belongs to, then one join; one area may hold most cells, so it is salted
-    owners = chains.join(placed.withColumnRenamed("cell", "outlet"), ["dem_id", "outlet"]).select("dem_id", "pour", "point_id")
-    inside = salted_lookup(labelled.select("dem_id", "cell", "pour"), owners, ["dem_id", "pour"], ["cell"], "inner")
+    ).where(F.col("pour").isNotNull()).select("dem_id", "cell", "pour")
+    # an outlet's parent is the outlet that its own downstream cell drains to
+    steps = outlets.withColumnRenamed("pour", "cell").join(linked, ["dem_id", "cell"]).select("dem_id", F.col("cell").alias("pour"), F.col("to").alias("cell"))
+    below = steps.join(basins.select("dem_id", "cell", F.col("pour").alias("parent")), ["dem_id", "cell"], "left")
+    own = F.when(F.col("parent") != F.col("pour"), F.col("parent"))
+    tree = materialize(cut_cycles(below.select(F.col("dem_id").alias("tree"), F.col("pour").alias("node"), own.alias("parent"))))
+    spans = materialize(forest_intervals(tree))
+    shared = spans.select("tree", F.col("node").alias("head"), "enter", "leave")
+    labelled = tree.select("tree", "node", "head").join(shared, ["tree", "head"])
+    outlets = labelled.select(F.col("tree").alias("dem_id"), F.col("node").alias("pour"), "enter", "leave", F.col("head"))
+    discard(linked)
+    return basins, materialize(outlets), placed
+
+
+def delineate_catchments(cells: DataFrame, points: DataFrame, valid: str = "elevation", strict: bool = True) -> DataFrame:
+    """All cells draining to each pour point (dem_id, point_id, row, col): rows (point_id, row, col).
+
+    Each cell learns the nearest pour point below it; a catchment is then the union of those areas over the
+    pour points inside its outlet's interval. Nested catchments repeat their cells, as they are the result;
+    `catchment_means` needs no such rows.
+    """
+    basins, outlets, placed = outlet_tree(cells, points, valid, strict)
+    heads = outlets.where(F.col("pour") == F.col("head")).select(F.col("dem_id").alias("tree"), F.col("pour").alias("node"), "enter", "leave")
+    under = pairs_under(heads).select(F.col("tree").alias("dem_id"), F.col("node").alias("outlet_head"), F.col("under").alias("head"))
+    members = under.join(outlets.select("dem_id", "head", "pour"), ["dem_id", "head"]).select("dem_id", "outlet_head", F.col("pour").alias("member"))
+    at = placed.join(outlets.select("dem_id", "pour", F.col("head").alias("outlet_head")), ["dem_id", "pour"])
+    owners = at.join(members, ["dem_id", "outlet_head"]).select("dem_id", F.col("member").alias("pour"), "point_id")
+    inside = basins.join(owners, ["dem_id", "pour"])
     return inside.select(
         "dem_id",
         "point_id",
@@ -260,31 +285,40 @@ def delineate_catchments(cells: DataFrame, points: DataFrame, valid: str = "elev
     )
 
 
-def _pour_chains(labelled: DataFrame, outlets: DataFrame, linked: DataFrame) -> DataFrame:
-    """(pour, outlet): every outlet with each outlet at or below it, by doubling along the outlet tree."""
-    below = (
-        outlets.join(linked, ["dem_id", "cell"])
-        .where(F.col("to").isNotNull())
-        .select("dem_id", F.col("cell").alias("pour"), F.col("to").alias("cell"))
-        .join(labelled.select("dem_id", "cell", F.col("pour").alias("outlet")), ["dem_id", "cell"])
-        .where(F.col("outlet") != F.col("pour"))
-        .select("dem_id", "pour", "outlet")
+def catchment_means(
+    cells: DataFrame, points: DataFrame, values: dict[str, str] | None = None, valid: str = "elevation", strict: bool = True
+) -> DataFrame:
+    """Cells and means of each pour point's catchment: dem_id, point_id, area_cells and what `values` names (column -> output).
+
+    Every basin is summed once; a catchment's sums are differences of prefix sums along the outlets'
+    tour, so nested catchments cost no pairs. Sums are decimals of nine places, which makes the differences exact.
+    A mean leaves null and NaN out; a catchment without values has a null mean.
+    """
+    values = values or {}
+    basins, outlets, placed = outlet_tree(cells, points, valid, strict)
+    keyed = cells.select("dem_id", cell_key(F.col("row"), F.col("col")).alias("cell"), *values)
+    met = basins.join(keyed, ["dem_id", "cell"])
+    numbers = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)).cast("decimal(24,9)") for c in values}
+    one = met.groupBy("dem_id", "pour").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.coalesce(F.sum(x), F.lit(0)).cast("decimal(34,9)").alias(f"s_{c}") for c, x in numbers.items()],
+        *[F.count(x).alias(f"n_{c}") for c, x in numbers.items()],
     )
-    known = materialize(
-        outlets.select("dem_id", F.col("cell").alias("pour"), F.col("cell").alias("outlet")).unionByName(below)
+    sums = ["n", *[f"{k}_{c}" for c in values for k in "sn"]]
+    spots = outlets.join(one, ["dem_id", "pour"], "left").na.fill(0, sums)
+    per_head = materialize(spots.groupBy("dem_id", "head", "enter", "leave").agg(*[F.sum(c).alias(c) for c in sums]))
+    opened = per_head.select("dem_id", "head", F.col("enter").alias("spot"), *sums)
+    closed = per_head.select("dem_id", "head", F.col("leave").alias("spot"), *[F.lit(0).cast(per_head.schema[c].dataType).alias(c) for c in sums])
+    upto = running_totals(opened.unionByName(closed), ["spot"], {c: f"upto_{c}" for c in sums})
+    spans = upto.groupBy("dem_id", "head").agg(
+        # between its two spots a head's totals grow by what lies under it; its own sums count from the first
+        *[(F.max_by(f"upto_{c}", "spot") - F.min_by(f"upto_{c}", "spot") + F.min_by(c, "spot")).alias(f"all_{c}") for c in sums]
+    )
+    at = placed.join(outlets.select("dem_id", "pour", "head"), ["dem_id", "pour"]).join(spans, ["dem_id", "head"])
+    return at.select(
+        "dem_id", "point_id", F.col("all_n").alias("area_cells"),
+        *[F.try_divide(F.col(f"all_s_{c}").cast("double"), F.col(f"all_n_{c}")).alias(n) for c, n in values.items()],
     )
-    jumps = materialize(below)
-    for _ in range(_rounds(outlets)):
-        if jumps.isEmpty():
-            break
-        # jumps reach 2^k outlets down; known holds every pair fewer than 2^(k+1) apart
-        far = jumps.select("dem_id", F.col("pour").alias("outlet"), F.col("outlet").alias("_far"))
-        longer = jumps.join(far, ["dem_id", "outlet"]).select("dem_id", "pour", F.col("_far").alias("outlet"))
-        jumps = materialize(longer)
-        ahead = jumps.select("dem_id", F.col("pour"), F.col("outlet").alias("_mid"))
-        reach = known.select("dem_id", F.col("pour").alias("_mid"), "outlet")
-        known = materialize(known.unionByName(ahead.join(reach, ["dem_id", "_mid"]).select("dem_id", "pour", "outlet")).distinct())
-    return known
 
 
 def zonal_mean(catchments: DataFrame, cells: DataFrame, values: dict[str, str], zone: str = "point_id") -> DataFrame:

@@ -348,8 +348,7 @@ def catchments(t):
 )
 def areas(t):
     points, acc = snapped(t)
-    found = drainage.delineate_catchments(acc, points)
-    sized = found.groupBy("dem_id", "point_id").agg(F.count(F.lit(1)).alias("area_cells")).join(meta(t), "dem_id")
+    sized = drainage.catchment_means(acc, points).join(meta(t), "dem_id")
     n, dx, dy = F.col("area_cells"), F.col("dx"), F.col("dy")
     return sized.select(
         "point_id", "area_cells", F.round(rasters.cell_area(n, dx, dy, "deg2"), 9).alias("area_deg2"),
@@ -367,8 +366,7 @@ def areas(t):
 def zonal(t):
     points, acc = snapped(t)
     h = materialize(drainage.compute_hand(acc))
-    found = drainage.delineate_catchments(acc, points)
-    return drainage.zonal_mean(found, h, {"hand": "mean_hand"}).select("point_id", "area_cells", r("mean_hand"))
+    return drainage.catchment_means(h, points, {"hand": "mean_hand"}).select("point_id", "area_cells", r("mean_hand"))
 
 
 @query("r11_catchment_outline")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.functions import tours
 from freshet.operators import drainage, extents, terrain
 from freshet.sources import rasters
 
@@ -115,6 +116,57 @@ def test_flow_accumulation_hand_and_catchments_match_brute_force(spark, seed):
                 inside.add((r, c))
         got = found[found.point_id == f"p{i}"]
         assert set(zip(got.row, got.col)) == inside and len(got) == len(inside)
+    # the same catchments as sums over the outlets' tour, in a second raster too
+    two = flow.unionByName(flow.withColumn("dem_id", F.lit(2)))
+    again = points.unionByName(points.withColumn("dem_id", F.lit(2)).limit(2))
+    means = drainage.catchment_means(two, again, {"elevation": "mean_elevation"}).collect()
+    assert len(means) == len(tops) + 2
+    for m in means:
+        mine = found[found.point_id == m.point_id]
+        assert m.area_cells == len(mine)
+        assert m.mean_elevation == pytest.approx(np.mean([dem[r, c] for r, c in zip(mine.row, mine.col)]), abs=1e-6)
+
+
+def test_pour_points_on_one_cycle_share_a_catchment(spark):
+    dem = np.array([[10, 9, 8], [9, 5, 7], [8, 7, 6]], float)
+    flow = terrain.flow_direction(cells(spark, dem), allow_uphill=True)
+    points = spark.createDataFrame([(1, "a", 1, 1), (1, "b", 2, 2), (1, "b again", 2, 2), (1, "c", 0, 0)], "dem_id int, point_id string, row int, col int")
+    found = drainage.delineate_catchments(flow, points).groupBy("point_id").count().collect()
+    sizes = {r.point_id: r["count"] for r in found}
+    assert sizes == {"a": 9, "b": 9, "b again": 9, "c": 1}
+    assert {r.point_id: r.area_cells for r in drainage.catchment_means(flow, points).collect()} == sizes
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_forest_intervals_hold_what_lies_under_a_node(spark, seed):
+    rng = np.random.default_rng(seed)
+    parents = {k: (None if rng.random() < 0.15 else int(rng.integers(0, 60))) for k in range(60)}
+    parents |= {100 + k: 99 + k for k in range(1, 30)} | {100: 5000}  # a chain, and a parent that is no node
+    rows = [(t, k, p) for t in ("x", "y") for k, p in parents.items() if t == "x" or k % 2 or p is None]
+    made = tours.cut_cycles(spark.createDataFrame(rows, "tree string, node bigint, parent bigint")).collect()
+    heads, links = {(r.tree, r.node): r.head for r in made}, {(r.tree, r.node): r.parent for r in made}
+
+    def above(tree, node):
+        seen = [node]
+        while (tree, seen[-1]) in links and links[tree, seen[-1]] is not None:
+            seen.append(links[tree, seen[-1]])
+            assert len(seen) <= len(links)
+        return seen
+
+    given = {(t, k): p for t, k, p in rows}
+    for t, k, _ in rows:
+        path, at = [k], given[t, k]
+        while at is not None and (t, at) in given and at not in path:
+            path.append(at)
+            at = given[t, at]
+        circle = set(path[path.index(at):]) if at in path else set()
+        assert heads[t, k] == (min(circle) if k in circle else k)
+        assert {heads[t, n] for n in path} == {heads[t, n] for n in above(t, k)}
+    frame = spark.createDataFrame([(t, k, p) for (t, k), p in links.items()], "tree string, node bigint, parent bigint")
+    spans = tours.forest_intervals(frame)
+    pairs = {(r.tree, r.node, r.under) for r in tours.pairs_under(spans, block=7).collect()}
+    assert pairs == {(t, a, k) for t, k in links for a in above(t, k)}
+    assert tours.forest_intervals(frame.where("false")).count() == 0
 
 
 def test_uphill_directions_make_cycles_that_are_reported(spark):
