@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,8 +128,22 @@ def checked_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _matched(docs: DataFrame, named: DataFrame, mark: Column, how: str) -> DataFrame:
+    """`docs` joined by doc_id (null ids are equal) and `mark` to `named` (doc_id, mark), under names that no column has."""
+    own_id, own_mark = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"
+    side = named.select(F.col("doc_id").alias(own_id), F.col("mark").alias(own_mark)).distinct()
+    return docs.join(checked_broadcast(side), F.col("doc_id").eqNullSafe(F.col(own_id)) & (mark == F.col(own_mark)), how)
+
+
 def without(docs: DataFrame, dropped: DataFrame, mark: Column) -> DataFrame:
     """`docs` less the rows whose doc_id and `mark` stand in `dropped` (doc_id, mark); null ids count as equal."""
-    gone = dropped.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (mark == F.col("gone_mark"))
-    return docs.join(checked_broadcast(gone), same, "left_anti")
+    return _matched(docs, dropped, mark, "left_anti")
+
+
+def once(docs: DataFrame, repeated: DataFrame, mark: Column) -> DataFrame:
+    """`docs` with one of the rows of each doc_id and `mark` that stand in `repeated` (doc_id, mark)."""
+    if repeated.isEmpty():
+        return docs
+    name = f"_{uuid.uuid4().hex}"
+    single = _matched(docs, repeated, mark, "left_semi").withColumn(name, mark).dropDuplicates(["doc_id", name]).drop(name)
+    return without(docs, repeated, mark).unionByName(single)

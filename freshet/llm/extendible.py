@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.series import salted_lookup
-from freshet.llm.common import checked_broadcast, one_blank, without
+from freshet.llm.common import checked_broadcast, once, one_blank, without
 from freshet.session import checkpoint_root, materialize
 
 DEEPEST = 40
@@ -146,12 +146,7 @@ def drop_copies(docs: DataFrame, capacity: int = 20_000) -> DataFrame:
     gone = materialize(gone)
     other = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
     left = without(docs, gone.where(other), mark)
-    again = gone.where(~other).select(F.col("doc_id").alias("twice")).distinct()
-    if again.isEmpty():
-        return left
-    is_twice = F.col("doc_id").eqNullSafe(F.col("twice"))
-    rows = left.join(again, is_twice, "left_semi").withColumn("_mark", mark).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
-    return left.join(again, is_twice, "left_anti").unionByName(rows)
+    return once(left, materialize(gone.where(~other).select("doc_id", "mark").distinct()), mark)
 
 
 ORACLE = r"""

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.functions.series import salted_lookup
-from freshet.llm.common import checked_broadcast, components, runs, slices, without
+from freshet.llm.common import checked_broadcast, components, once, runs, slices, without
 from freshet.session import materialize
 
 SHINGLE_WORDS = 5
@@ -217,15 +217,7 @@ def _in_block_pairs(members: DataFrame, keys: list[str], size: str, block: int)
     return dealt.repartition(*keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi")
 
 
-def near_groups(
-    docs: DataFrame,
-    threshold: float = THRESHOLD,
-    words: int = SHINGLE_WORDS,
-    trees: int = TREES,
-    deepest: int = MAX_DEPTH,
-    recall: float = RECALL,
-    block: int = BLOCK,
-) -> DataFrame:
+def near_groups(docs: DataFrame, **settings) -> DataFrame:
     """One row per row of `docs` (doc_id, text): its group of similar documents and its number of links.
 
     `text_hash` (xxhash64 of the text) tells rows with one doc_id apart. `class_id` is the smallest doc_id of all documents connected by links, `copy_id` that of the
@@ -239,7 +231,21 @@ def near_groups(
     shingle sets are then intersected exactly, again block against block, so that no task holds more
     than two blocks and nothing is emitted per pair. Texts without words form one class
     without links, null text is empty, repeated rows count as copies, other columns are ignored.
+    Settings are those of `labelled_rows`.
     """
+    return labelled_rows(docs, **settings).drop("label")
+
+
+def labelled_rows(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    words: int = SHINGLE_WORDS,
+    trees: int = TREES,
+    deepest: int = MAX_DEPTH,
+    recall: float = RECALL,
+    block: int = BLOCK,
+) -> DataFrame:
+    """What `near_groups` returns, with the `label` that the rows of a group share whatever their doc_ids are."""
     depth = matching_depth(trees, deepest, threshold, recall)
     schema = "doc_id bigint, text_hash bigint, c1 bigint, c2 bigint, size bigint, prefixes array<bigint>, values binary"
     told = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_described(words, trees, depth), schema)
@@ -286,17 +292,26 @@ def near_groups(
     heads = grouped.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     named = salted_lookup(grouped, heads, ["label"], ["rep"], "inner", salts=8)
     described = named.select(
-        "c1", "c2", "class_id", "copy_id",
+        "c1", "c2", "label", "class_id", "copy_id",
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_linked_texts"),
     )
     return salted_lookup(sets.select("doc_id", "text_hash", "rep", "c1", "c2"), described, ["c1", "c2"], ["rep"], "inner", salts=8).select(
-        "doc_id", "class_id", "n_links", "copy_id", "n_linked_texts", "text_hash"
+        "doc_id", "class_id", "n_links", "copy_id", "n_linked_texts", "text_hash", "label"
     )
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` with the smallest doc_id of every group of similar documents, all columns kept."""
-    groups = near_groups(docs, **settings)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return without(docs, gone.select("doc_id", F.col("text_hash").alias("mark")), F.xxhash64("text"))
+    """`docs` with one row of every group of similar documents, all columns kept.
+
+    The smallest doc_id stays, a null one only where a group has no other; among rows of that doc_id the
+    one with the smallest text hash stays, and of rows that repeat it, one.
+    """
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    groups = materialize(labelled_rows(docs, **settings).select("doc_id", "text_hash", "label", order.alias("place")))
+    firsts = groups.groupBy("label").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    told = salted_lookup(groups, firsts, ["label"], ["doc_id", "text_hash"], "inner")
+    marked = materialize(told.select("doc_id", F.col("text_hash").alias("mark"), (F.col("place") == F.col("first")).alias("stays")))
+    mark = F.xxhash64("text")
+    repeated = marked.where("stays").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return once(without(docs, marked.where(~F.col("stays")).drop("stays"), mark), materialize(repeated), mark)

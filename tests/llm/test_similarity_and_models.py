@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import corpora  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from freshet.llm import common, cross_entropy, fourier_quality, lsh_forest, quotations, secret_scan  # noqa: E402
+from freshet.llm import common, cross_entropy, extendible, fourier_quality, lsh_forest, quotations, secret_scan  # noqa: E402
 from freshet.llm.queries import QUERIES  # noqa: E402
 
 needs_data = pytest.mark.skipif(not os.path.isdir(corpora.SF_DIR), reason="supplied tables not present")
@@ -390,3 +390,18 @@ def test_pipeline_stands_awkward_and_empty_tables(spark, tmp_path):
             stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{name}{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{k}"))
         assert (docs.count() == 0) == (name == "n")
+
+
+def test_one_row_of_a_near_group_stays_whatever_its_ids(spark):
+    """Null ids, one id for several texts, rows that repeat the one that stays, and columns named as the joins' own."""
+    base = " ".join(f"w{k}" for k in range(200))
+    texts = [base, base + " tail", base + " other end"]
+    alone = " ".join(f"z{k}" for k in range(60))
+    for ids, stays in (((None, None, None), None), ((1, 1, 2), 1), ((None, 3, 3), 3)):
+        rows = [(i, t, 1, "m", "x", "y") for i, t in zip(ids, texts)] + [(None, alone, 1, "m", "x", "y"), (9, " ".join(f"y{k}" for k in range(90)), 1, "m", "x", "y")]
+        docs = spark.createDataFrame(rows + rows, "doc_id bigint, text string, gone_id bigint, gone_mark string, twice string, _mark string")
+        left = lsh_forest.drop_near_copies(docs).collect()
+        assert len([r for r in left if r.text.startswith("w0")]) == 1
+        assert [r.doc_id for r in left if r.text.startswith("w0")] == [stays]
+        assert len([r for r in left if not r.text.startswith("w0")]) == 2 and left[0].gone_mark == "m"
+        assert sorted(r.text for r in extendible.drop_copies(docs).collect()) == sorted(t for _, t, *_ in rows)
