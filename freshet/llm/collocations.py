@@ -34,15 +34,13 @@ _KIND[list(ENDS)] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-TOKENS = "shard int, tokens array<bigint>, lang string, word string, key bigint, n bigint"
+TOKENS = "shard int, tokens array<bigint>, lang string, n bigint"
+WORDS = "key bigint, lang string, word string"
 COUNTS = "k tinyint, key bigint, prefix bigint, suffix bigint, n bigint"
 _COUNTS = pa.schema([("k", pa.int8()), ("key", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
-_TOKENS = pa.schema(
-    [
-        ("shard", pa.int32()), ("tokens", pa.list_(pa.int64())), ("lang", pa.string()), ("word", pa.string()),
-        ("key", pa.int64()), ("n", pa.int64()),
-    ]
-)
+_TOKENS = pa.schema([("shard", pa.int32()), ("tokens", pa.list_(pa.int64())), ("lang", pa.string()), ("n", pa.int64())])
+# Hashes of words repeat within a slice, so that a dictionary larger than the writer's usual one halves them.
+_STORED = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}
 
 
 # ---- keys ----
@@ -117,67 +115,72 @@ def _lang_key(lang: str, seed: int) -> np.uint64:
     return _mix(np.array([_long(data, _POWERS[seed][0]) + np.uint64(len(data))], np.uint64))[0]
 
 
-def tokenized(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, pa.Table]:
-    """Keys of all words of a batch (text, lang) with 0 between pieces, and a row for each different word.
+class Slice:
+    """Words of a batch (text, lang) in a row: bytes, starts, ends, keys, languages, and where pieces begin.
 
     A word's key covers its language, so that phrases of two languages never meet.
     """
-    texts = batch.column(0).fill_null("").cast(pa.large_binary())
-    langs = batch.column(1).fill_null("und").dictionary_encode()
-    _, offsets, values = texts.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(values, np.uint8)[bounds[0] : bounds[-1]] if values is not None else np.zeros(0, np.uint8)
-    bounds = bounds - bounds[0]
-    # a line feed after every text keeps its words apart from the next one's
-    data = np.insert(_LOWER[raw], bounds[1:], 10)
-    bounds = bounds + np.arange(len(bounds))
-    starts, ends, hashes, fresh = _words(data, seed)
-    lang_keys = np.array([_lang_key(x, seed) for x in langs.dictionary.to_pylist()], np.uint64)
-    of = langs.indices.to_numpy(zero_copy_only=False)[np.searchsorted(bounds, starts, side="right") - 1]
-    keys = _mix(hashes ^ lang_keys[of]) if len(starts) else hashes
-    order = np.argsort(keys, kind="stable")
-    first = np.ones(len(order), bool)
-    first[1:] = keys[order[1:]] != keys[order[:-1]]
-    heads = np.flatnonzero(first)
-    counts = np.diff(np.append(heads, len(order)))
-    some = order[heads]
-    lengths = ends[some] - starts[some]
-    upto = np.concatenate(([0], np.cumsum(lengths)))
-    spelled = data[np.repeat(starts[some] - upto[:-1], lengths) + np.arange(upto[-1])]
-    words = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(spelled)).cast(pa.string())
-    table = pa.table(
-        {
-            "lang": langs.dictionary.take(pa.array(of[some])), "word": words,
-            "key": keys[some].view(np.int64), "n": counts,
-        }
-    )
-    flat = np.zeros(len(keys) + int(fresh.sum()), np.uint64)
-    flat[np.arange(len(keys)) + np.cumsum(fresh)] = keys
-    return flat.view(np.int64), table
+
+    def __init__(self, batch: pa.RecordBatch, seed: int):
+        texts = batch.column(0).fill_null("").cast(pa.large_binary())
+        langs = batch.column(1).fill_null("und").dictionary_encode()
+        _, offsets, values = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(values, np.uint8)[bounds[0] : bounds[-1]] if values is not None else np.zeros(0, np.uint8)
+        bounds = bounds - bounds[0]
+        # a line feed after every text keeps its words apart from the next one's
+        self.data = np.insert(_LOWER[raw], bounds[1:], 10)
+        bounds = bounds + np.arange(len(bounds))
+        self.starts, self.ends, hashes, self.fresh = _words(self.data, seed)
+        self.langs = langs.dictionary
+        lang_keys = np.array([_lang_key(x, seed) for x in langs.dictionary.to_pylist()], np.uint64)
+        self.lang = langs.indices.to_numpy(zero_copy_only=False)[np.searchsorted(bounds, self.starts, side="right") - 1]
+        self.keys = _mix(hashes ^ lang_keys[self.lang]) if len(hashes) else hashes
+
+    def tokens(self) -> np.ndarray:
+        """Keys of all words with 0 before every piece."""
+        flat = np.zeros(len(self.keys) + int(self.fresh.sum()), np.uint64)
+        flat[np.arange(len(self.keys)) + np.cumsum(self.fresh)] = self.keys
+        return flat.view(np.int64)
+
+    def counts(self) -> list[tuple[str, int]]:
+        """Number of words of each language."""
+        return list(zip(self.langs.to_pylist(), np.bincount(self.lang, minlength=len(self.langs)).tolist()))
+
+    def spelled(self, bits: np.ndarray) -> pa.Table:
+        """(key, lang, word) of the different words whose keys stand in the bitmap."""
+        live = np.flatnonzero(_member(bits, self.keys))
+        _, first = np.unique(self.keys[live], return_index=True)
+        some = live[first]
+        lengths = self.ends[some] - self.starts[some]
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        letters = self.data[np.repeat(self.starts[some] - upto[:-1], lengths) + np.arange(upto[-1])]
+        words = pa.LargeStringArray.from_buffers(len(some), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(letters))
+        return pa.table(
+            {"key": self.keys[some].view(np.int64), "lang": self.langs.take(pa.array(self.lang[some])), "word": words.cast(pa.string())}
+        )
 
 
 def _tokenize(seed: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         for part in slices(batches, WINDOW_BYTES):
-            flat, words = tokenized(part, seed)
-            mine = pa.scalar(shard % shards, pa.int32())
-            rows = pa.table(
-                {
-                    "shard": pa.repeat(mine, len(words)), "tokens": pa.nulls(len(words), pa.list_(pa.int64())),
-                    **{c: words.column(c) for c in words.column_names},
-                }
-            )
-            yield from rows.cast(_TOKENS).to_batches(max_chunksize=50_000)
-            one = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard % shards], pa.int32()), one, *[pa.nulls(1, f.type) for f in list(_TOKENS)[2:]]], schema=_TOKENS
-            )
+            made = Slice(part, seed)
+            rows = [(shard % shards, made.tokens(), None, None)] + [(shard % shards, None, lang, n) for lang, n in made.counts()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
             shard += 1
 
     return run
 
 
+def _spell(seed: int, bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, WINDOW_BYTES):
+            yield from Slice(part, seed).spelled(bits).to_batches(max_chunksize=50_000)
+
+    return run
+
+
 # ---- one stop of the scan ----
 
 
@@ -187,8 +190,12 @@ def _member(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _ngrams(tokens: np.ndarray, lengths: list[int], bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(k, key, prefix, suffix) of the occurrences of k-word phrases both of whose subphrases may be active."""
+    """(k, key, prefix, suffix) of all words, and of k-word phrases both of whose subphrases may be active."""
     words = tokens.view(np.uint64)
+    if 1 in lengths:
+        live = words[words != 0]
+        zeros = np.zeros(len(live), np.uint64)
+        yield 1, live, zeros, zeros
     shorter = words * _member(bits, words)
     for k in range(2, max(lengths) + 1):
         if len(shorter) < 2:
@@ -273,16 +280,18 @@ class Counting:
     The corpus lies in shards that are scanned in a cycle, one stop at a time. A phrase is counted
     from the stop after both its subphrases (all words but the last, all but the first) have reached
     the threshold, and for one whole cycle, so lengths are counted interleaved and every count is over
-    all shards. State is three kinds of tables in the shared folder: counts in progress, reached phrases
-    with the stop they were reached at, and finished phrases. Nothing is gathered but one number per
-    length and the bitmap of reached keys.
+    all shards. What a stop counts is one table; a phrase's cycle lies in the latest tables, one for each
+    shard. Only phrases that occur threshold / shards times at some stop are added up over the
+    tables, as no other can reach the threshold. Nothing is gathered but some numbers per length
+    and the bitmap of reached keys.
     """
 
     def __init__(self, scanned: DataFrame, shards: int, longest: int, threshold: int):
         self.scanned, self.shards, self.longest, self.threshold = scanned, shards, longest, threshold
         spark = scanned.sparkSession
-        self.progress = None
-        self.reached = spark.createDataFrame([], "key bigint, k tinyint, reach int")
+        self.tables: dict[int, DataFrame] = {}
+        self.open = spark.createDataFrame([], "key bigint, start int, reach int")
+        self.reached = spark.createDataFrame([], "key bigint, reach int")
         self.finished: list[DataFrame] = []
         self.last = {1: -1}  # per length, the latest start of a cycle
         self.n_reached = 0
@@ -293,70 +302,73 @@ class Counting:
         while stop <= max(self.last.values()) + self.shards:
             self._stop(stop)
             stop += 1
+        discard(*self.tables.values())
         if not self.finished:
             return None
         out = self.finished[0]
         for more in self.finished[1:]:
             out = out.unionByName(more)
-        return materialize(out.select("k", "key", "prefix", "suffix", "n"))
+        return materialize(out)
 
     def _stop(self, stop: int) -> None:
-        shard = self.scanned.where(F.col("shard") == stop % self.shards)
-        new = []
-        if stop < self.shards:
-            zero = F.lit(0).cast("bigint")
-            new.append(
-                shard.where("word is not null").select(
-                    F.lit(1).cast("tinyint").alias("k"), "key", zero.alias("prefix"), zero.alias("suffix"), "n", F.lit(-1).alias("start")
-                )
-            )
-        lengths = [k for k, start in self.last.items() if k > 1 and start < stop <= start + self.shards]
-        if lengths:
-            bits = _bitmap(self.reached, self.n_reached)
-            tokens = shard.where("tokens is not null").select("tokens")
-            new.append(self._started(tokens.mapInArrow(_count(lengths, bits), COUNTS), stop))
-        rows = None
-        for part in new:
-            part = part.withColumn("reach", F.lit(None).cast("int"))
-            rows = part if rows is None else rows.unionByName(part)
-        if self.progress is not None:
-            rows = self.progress if rows is None else rows.unionByName(self.progress)
-        if rows is None:
-            return
+        lengths = [k for k, start in self.last.items() if start < stop <= start + self.shards]
+        self._count(stop, lengths)
+        old = self.tables.pop(stop - self.shards, None)
+        cycle = list(self.tables.values())
+        known = self.open.select("key", "start")
+        if stop in self.tables:
+            often = F.col("n") >= -(-self.threshold // self.shards)
+            known = known.unionByName(self.tables[stop].where(often).select("key", "start")).distinct()
+        counts = cycle[0]
+        for table in cycle[1:]:
+            counts = counts.unionByName(table)
+        known = materialize(known)
+        kept = counts.join(checked_broadcast(known, LOOKUP_ROWS), ["key", "start"], "left_semi")
+        summed = kept.groupBy("k", "key", "prefix", "suffix", "start").agg(F.sum("n").alias("n"))
         merged = materialize(
-            rows.groupBy("k", "key", "prefix", "suffix", "start")
-            .agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
-            .withColumn("reach", F.coalesce("reach", F.when(F.col("n") >= self.threshold, F.lit(stop))))
+            summed.join(self.open, ["key", "start"], "left").withColumn(
+                "reach", F.coalesce("reach", F.when(F.col("n") >= self.threshold, F.lit(stop)))
+            )
         )
+        if old is not None:
+            discard(old)
+        discard(known)
         ended = F.col("start") + self.shards <= stop
         seen = merged.groupBy("k").agg(
             F.sum(F.when(F.col("reach") == stop, 1).otherwise(0)).alias("fresh"),
             F.sum(F.when(ended & (F.col("n") >= self.threshold), 1).otherwise(0)).alias("done"),
-            F.sum(F.when(~ended, 1).otherwise(0)).alias("open"),
         ).collect()  # fmt: skip — one row per length
         if any(r.done for r in seen):
-            self.finished.append(merged.where(ended & (F.col("n") >= self.threshold)))
-        fresh = [r.k for r in seen if r.fresh]
-        if fresh:
+            self.finished.append(merged.where(ended & (F.col("n") >= self.threshold)).select("k", "key", "prefix", "suffix", "n"))
+        if any(r.fresh for r in seen):
             self.n_reached += sum(r.fresh for r in seen)
-            added = self.reached.unionByName(merged.where(F.col("reach") == stop).select("key", "k", "reach"))
-            self.reached = materialize(added)
-            for k in fresh:
-                if k < self.longest:
-                    self.last[k + 1] = stop
-        self.progress = merged.where(~ended).select("k", "key", "prefix", "suffix", "start", "n", "reach")
-        if not any(r.open for r in seen):
-            self.progress = None
+            self.reached = materialize(self.reached.unionByName(merged.where(F.col("reach") == stop).select("key", "reach")))
+            for r in seen:
+                if r.fresh and r.k < self.longest:
+                    self.last[r.k + 1] = stop
+        self.open = merged.where(~ended).select("key", "start", "reach")
+
+    def _count(self, stop: int, lengths: list[int]) -> None:
+        """The table of this stop: phrases of its shard whose cycle is on."""
+        if not lengths:
+            return
+        bits = _bitmap(self.reached, self.n_reached)
+        tokens = self.scanned.where((F.col("shard") == stop % self.shards) & F.col("tokens").isNotNull()).select("tokens")
+        counts = tokens.mapInArrow(_count(lengths, bits), COUNTS)
+        started = self._started(counts, stop)
+        self.tables[stop] = materialize(started.groupBy("k", "key", "prefix", "suffix", "start").agg(F.sum("n").alias("n")))
 
     def _started(self, counts: DataFrame, stop: int) -> DataFrame:
-        """Counts whose subphrases are both reached and whose cycle is not over, with the stop it started after."""
+        """Counts whose subphrases are both reached and whose cycle is not over; words have 0 on both sides."""
+        words = self.reached.sparkSession.createDataFrame([(0, -1)], "key bigint, reach int")
+        marked = self.reached.unionByName(words)
         out = counts
         for side in ("prefix", "suffix"):
-            known = self.reached.select(F.col("key").alias(side), (F.col("k") + 1).cast("tinyint").alias("k"), F.col("reach").alias(f"{side}_reach"))
+            known = marked.select(F.col("key").alias(side), F.col("reach").alias(f"{side}_reach"))
             if self.n_reached <= LOOKUP_ROWS:
-                out = out.join(F.broadcast(known), ["k", side])
+                out = out.join(F.broadcast(known), side)
             else:
-                out = salted_lookup(out, known, ["k", side], ["key"], "inner")
+                out = salted_lookup(out, known, [side], ["key"], "inner")
         out = out.withColumn("start", F.greatest("prefix_reach", "suffix_reach"))
         return out.where(F.col("start") + self.shards >= stop).select("k", "key", "prefix", "suffix", "n", "start")
 
@@ -428,15 +440,17 @@ def collocations(
     """
     spark = docs.sparkSession
     path = f"{checkpoint_root(spark)}/freshet-phrases-{uuid.uuid4().hex}"
-    docs.select("text", "lang").mapInArrow(_tokenize(seed, shards), TOKENS).write.partitionBy("shard").parquet(path)
+    texts = docs.select("text", "lang")
+    texts.mapInArrow(_tokenize(seed, shards), TOKENS).write.options(**_STORED).partitionBy("shard").parquet(path)
     scanned = spark.read.schema(TOKENS).parquet(path)
-    counting = Counting(scanned, shards, longest, threshold)
-    finished = counting.run()
+    finished = Counting(scanned, shards, longest, threshold).run()
     if finished is None:
         return spark.createDataFrame([], "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint")
-    seen = scanned.where("word is not null")
-    frequent = checked_broadcast(finished.where("k = 1").select("key"), LOOKUP_ROWS)
-    words = materialize(seen.join(frequent, "key", "left_semi").select("key", "lang", "word").distinct())
+    frequent = finished.where("k = 1").select("key")
+    count = frequent.count()
+    spelled = texts.mapInArrow(_spell(seed, _bitmap(frequent, count)), WORDS)
+    sure = F.broadcast(frequent) if count <= LOOKUP_ROWS else frequent
+    words = materialize(spelled.join(sure, "key", "left_semi").distinct())
     if not words.groupBy("key").count().where("count > 1").isEmpty():
         return collocations(docs, threshold, longest, top, shards, cover, seed + 1)
     phrases = materialize(_spelled(finished, words, longest))
@@ -444,7 +458,7 @@ def collocations(
     wide = phrases.select(F.explode(F.array("prefix", "suffix")).alias("key"), (F.col("k") - 1).alias("k"), F.col("a").alias("f"))
     covered = wide.groupBy("k", "key").agg(F.max("f").alias("f"))
     free = phrases.join(covered, ["k", "key"], "left").where(F.coalesce(100 * F.col("f") < cover * F.col("a"), F.lit(True)))
-    totals = seen.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = scanned.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     scored = _scored(free, totals).select("lang", F.array_join("words", " ").alias("phrase"), "a", "l", "r", "n", "score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(TOP_SALTS))
