@@ -266,26 +266,31 @@ def outlines(t):
     return extents.outline_vertices(rows, meta(t)).select("level", "region", "ring", "position", "lon", "lat")
 
 
-@query(
-    "r10_outline_areas",
-    FLOODED + " SELECT level, count(*)::DOUBLE AS area_cells, 0.0::DOUBLE AS open_ends FROM flooded GROUP BY 1",
-)
-def outline_areas(t):
-    """The rings of each level, outer ones counted up and holes down, enclose as many cells as are flooded."""
-    flooded = materialize(terrain.flood_mask(handed(t), LEVELS))
-    keys = ("dem_id", "level")
-    rows = materialize(extents.rings(materialize(extents.regions(flooded, keys)), keys))
+def enclosed(ring_rows, keys, by):
+    """Cells that the rings of each `by` enclose, by the shoelace sum over their edges, and vertices without a next one."""
+    rows = materialize(ring_rows)
     sizes = rows.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("vertices"))
     following = rows.join(sizes, [*keys, "ring"]).select(
         *keys, "ring", F.pmod(F.col("position") - 1, F.col("vertices")).alias("position"), F.col("vrow").alias("nrow"), F.col("vcol").alias("ncol")
     )
     turned = rows.join(following, [*keys, "ring", "position"], "left")
-    return turned.groupBy("level").agg(
+    return turned.groupBy(by).agg(
         F.abs(F.sum(F.col("vcol") * F.col("nrow") - F.col("ncol") * F.col("vrow")) / 2).alias("area_cells"),
         F.count_if(F.col("nrow").isNull()).cast("double").alias("open_ends"),
     )
 
 
+@query(
+    "r10_outline_areas",
+    FLOODED + " SELECT level, count(*)::DOUBLE AS area_cells, 0.0::DOUBLE AS open_ends FROM flooded GROUP BY 1",
+)
+def outline_areas(t):
+    """The rings of each level, outer ones counted up and holes down, enclose as many cells as are flooded."""
+    flooded = materialize(terrain.flood_mask(handed(t), LEVELS))
+    keys = ("dem_id", "level")
+    return enclosed(extents.rings(materialize(extents.regions(flooded, keys)), keys), keys, "level")
+
+
 @query(
     "r4_r10_conditioned_extent",
     CONDITIONED_FLOODED + " SELECT level, count(*) AS num_cells FROM flooded GROUP BY 1",
@@ -378,6 +383,20 @@ def catchment_outlines(t):
     )
 
 
+@query(
+    "r11_outline_areas",
+    SNAP
+    + """ SELECT point_id, count(*)::DOUBLE AS area_cells, 0.0::DOUBLE AS open_ends
+          FROM p JOIN snapped s ON s."row" = p.r AND s.col = p.c GROUP BY 1""",
+)
+def catchment_outline_areas(t):
+    """The rings of each catchment, all its regions and holes, enclose as many cells as drain to its point."""
+    points, acc = snapped(t)
+    keys = ("dem_id", "point_id")
+    found = materialize(drainage.delineate_catchments(acc, points))
+    return enclosed(extents.rings(materialize(extents.regions(found, keys)), keys), keys, "point_id")
+
+
 HORN = """WITH h AS (SELECT "row", col, elevation,
     max(nelev) FILTER (k = 0) AS n, max(nelev) FILTER (k = 1) AS ne, max(nelev) FILTER (k = 2) AS e, max(nelev) FILTER (k = 3) AS se,
     max(nelev) FILTER (k = 4) AS s, max(nelev) FILTER (k = 5) AS sw, max(nelev) FILTER (k = 6) AS w, max(nelev) FILTER (k = 7) AS nw
