@@ -167,6 +167,75 @@ def test_secrets_of_the_table(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [base.count(k + ":") for k in ("assign", "access", "hex")]
 
 
+@pytest.fixture(scope="module")
+def of_table(spark):
+    return secret_scan.train(secret_scan.labelled_samples(corpora.documents(spark)))
+
+
+def flagged(spark, strings, chances):
+    docs = spark.createDataFrame(list(enumerate(f"see {x} here" for x in strings)), "doc_id bigint, text string")
+    return sum(r["n_random"] > 0 for r in secret_scan.scan(docs, chances).collect()) / len(strings)
+
+
+def held_out_names():
+    """Names, module paths and rulers of the standard library, which no sample is made of."""
+    root, names, paths = os.path.dirname(os.__file__), set(), set()
+    for folder, _, files in os.walk(root):
+        if "site-packages" in folder or "test" in folder or "__pycache__" in folder:
+            continue
+        for file in files:
+            if not file.endswith(".py"):
+                continue
+            path = os.path.join(folder, file)
+            paths.add(os.path.relpath(path, root)[:-3])
+            with open(path, encoding="utf8", errors="replace") as source:
+                names.update(re.findall(r"\b(?:def|class)\s+([A-Za-z0-9_]{16,})|^\s*([A-Za-z0-9_]{16,}) = ", source.read(), re.M))
+    names = {a or b for a, b in names}
+    paths = {p for p in paths if len(p) >= 16 and re.fullmatch("[A-Za-z0-9+/_=-]+", p)}
+    return sorted(names), sorted(paths), [c * n for c in "=-_+/" for n in (16, 25, 60, 79)]
+
+
+@needs_data
+def test_ordinary_identifiers_are_left_alone(spark, of_table):
+    names, paths, rulers = held_out_names()
+    assert len(names) + len(paths) > 2000
+    assert flagged(spark, names + paths, of_table) < 0.01 and flagged(spark, rulers, of_table) == 0
+    known = [
+        "getUserAccountBalanceFromDatabase", "XMLHttpRequestFactoryProvider", "com/example/project/src/main/Application",
+        "https_www_example_org_path_to_resource", "GL_COMPRESSED_RGBA_S3TC_DXT5_EXT", "MAX_BUFFER_SIZE_IN_KILOBYTES_V2",
+    ]
+    assert flagged(spark, known, of_table) == 0
+
+
+@needs_data
+@pytest.mark.parametrize("length, least", [(16, 0.93), (20, 0.95), (24, 0.98), (32, 0.99), (40, 0.99)])
+def test_recall_of_random_strings_by_length(spark, of_table, length, least):
+    rng = random.Random(length)
+    for alphabet in (secret_scan.ALPHABET[:62], secret_scan.ALPHABET[:64], secret_scan.ALPHABET[:52], "0123456789ABCDEF"):
+        keys = ["".join(rng.choice(alphabet) for _ in range(length)) for _ in range(300)]
+        assert flagged(spark, keys, of_table) >= least
+        assert flagged(spark, [f"srv/www/configuration/{k}" for k in keys], of_table) >= least - 0.06
+
+
+@needs_data
+def test_ratios_equal_sums_over_characters(of_table):
+    def total(model, string):
+        states = [0, *(secret_scan.ALPHABET.index(c) + 1 for c in string), 0]
+        return sum(model[a * secret_scan.STATES + b] for a, b in zip(states, states[1:]))
+
+    strings = ["a", "getUserAccountBalance", "9fKx/+_=-ZZ", "=" * 40]
+    plain = [max(total(m, x) for m in of_table.random) - max(total(m, x) for m in of_table.ordinary) for x in strings]
+    assert np.allclose(secret_scan._ratios(strings, of_table), plain)
+
+
+def test_word_samples_are_bounded_and_the_same_however_texts_are_split(spark):
+    rows = [(" ".join(f"{a}{b}{c}" for c in "xyz"),) for a in "abcdef" for b in "ghijkl"] + [(None,), ("",), ("é 12 waytoolongforasample",)]
+    for n in (7, 1000):
+        got = [secret_scan.vocabulary_sample(spark.createDataFrame(rows, "text string").repartition(k), n) for k in (1, 5)]
+        assert got[0] == got[1] and len(set(got[0])) == min(n, 108)
+    assert secret_scan.vocabulary_sample(corpora.nothing(spark)) == []
+
+
 # --- cross-entropy
 
 
