@@ -34,8 +34,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts and n_chars counted anew."""
     small_batches(spark)
-    ratios = secret_scan.train(secret_scan.labelled_samples(docs))
-    clean = docs.withColumn("text", secret_scan.masked(F.col("text"), ratios))
+    chances = secret_scan.train(secret_scan.labelled_samples(docs))
+    clean = docs.withColumn("text", secret_scan.masked(F.col("text"), chances))
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
