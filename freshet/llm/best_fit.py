@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from freshet.llm.common import slices
-from freshet.llm.word_ids import KEEP_WORDS, default_vocabulary, encoder
+from freshet.llm.common import together
+from freshet.llm.word_ids import KEEP_WORDS, TEXT_BYTES, default_vocabulary, encoder
 from freshet.session import materialize
 
 _BROADCAST_FLOWS = 500_000  # five integers each: at most some 20 MB
@@ -26,7 +26,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool, keep_words
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
-        for batch in slices(batches):
+        for batch in together(batches, TEXT_BYTES):
             flat, counts = encoder(vocabulary, keep_words).encode(batch.column("text"))
             ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
             counts = counts + 1
@@ -35,7 +35,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool, keep_words
             piece = np.arange(len(rows)) - np.repeat(np.cumsum(per) - per, per)
             length = np.minimum(capacity, counts[rows] - piece * capacity)
             stop = np.cumsum(length)
-            raw = [ids[a:b].tobytes() for a, b in zip(stop - length, stop)]
+            raw = [ids[a:b] for a, b in zip(stop - length, stop)]
             order = np.argsort(length, kind="stable")
             ordered = length[order]
             nth = np.empty(len(rows), np.int64)
@@ -49,7 +49,7 @@ def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool, keep_words
                 "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()),
                 "part": pa.array(np.full(len(rows), part), pa.int32()),
                 "nth": pa.array(nth),
-            } | ({"ids": pa.array(raw, pa.binary())} if with_ids else {})
+            } | ({"ids": pa.array([x.tobytes() for x in raw], pa.binary())} if with_ids else {})
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run

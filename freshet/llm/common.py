@@ -49,6 +49,19 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Itera
     _release()  # the worker lives on for other tasks
 
 
+def together(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of some `limit` bytes (up to twice that), joined where they come smaller."""
+    held, size = [], 0
+    for batch in slices(batches, limit):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _release() -> None:
     """Give freed memory back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from freshet.llm.common import slices
-from freshet.llm.word_ids import default_vocabulary, encoder
+from freshet.llm.common import slices, together
+from freshet.llm.word_ids import TEXT_BYTES, default_vocabulary, encoder
 from freshet.session import checkpoint_root
 
 # Fixed values of the code: selector s packs COUNTS[s] ids of WIDTHS[s] bits into the low 60 bits.
@@ -110,7 +110,7 @@ FILE = "shard int, doc_id bigint, before bigint, n_ids bigint, word_ends array<i
 def _write_blocks(vocabulary: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0  # ids of the shard's earlier documents: a task writes one shard
-        for batch in slices(batches):
+        for batch in together(batches, TEXT_BYTES):
             coded, before = _coded(batch, vocabulary, end_id, block_ids, before)
             yield coded
 

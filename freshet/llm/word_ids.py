@@ -12,6 +12,8 @@ import regex
 # The split pattern of the vocabulary file (fixed value): white space never lies inside a match.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
+_JOINED = 5000  # pieces that reach the tokenizer in one string
+_TAKEN = 1 << 20  # words whose ids are laid out at once, so that their bytes stay far below 2 GB
 
 
 def default_vocabulary() -> str:
@@ -53,28 +55,29 @@ class WordEncoder:
         """Flat uint32 ids of all texts, and the number of ids of each; null counts as empty."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        parts = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[at] - (ends - lengths), lengths) + np.arange(total)]
+        parts = pa.array(self._words(coded.dictionary.to_pylist()), pa.binary())
+        # Arrow lays the bytes of the taken words side by side: these are the ids in a row
+        pieces = [parts.take(coded.indices.slice(k, _TAKEN)) for k in range(0, len(coded), _TAKEN)]
+        flat = [np.frombuffer(p.buffers()[2] or b"", np.uint32) for p in pieces]
+        ends = [np.diff(np.frombuffer(p.buffers()[1], np.int32, len(p) + 1)) for p in pieces]
+        ids = np.concatenate([f[: int(n.sum()) // 4] for f, n in zip(flat, ends)]) if pieces else np.zeros(0, np.uint32)
+        upto = np.concatenate(([0], *ends)).cumsum(dtype=np.int64) // 4
         offsets = split.offsets.to_numpy()
-        upto = np.concatenate(([0], ends))[offsets - offsets[0]]
-        return ids, np.diff(upto)
+        return ids, np.diff(upto[offsets - offsets[0]])
 
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         found = list(map(young.get, words))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        again = {w: old[w] for w in (words[k] for k in missing) if w in old}
-        young.update(again)
-        new = [words[k] for k in missing if words[k] not in again]
+        missing, new = [k for k, ids in enumerate(found) if ids is None], []
+        for k in missing:
+            w = words[k]
+            ids = old.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                young[w] = ids
         if new:
             self._learn(new)
         for k in missing:
@@ -86,10 +89,12 @@ class WordEncoder:
             self.pieces = {}
         whole, tailed, cut = [], [], {}
         for w in new:
-            if not (w.isascii() or _latin(w)) or "<|" in w:
+            if not (w.isascii() or _latin(w)):
                 self.young[w] = self._one(w)
             elif w.isalpha():
                 whole.append(w)
+            elif "<|" in w:
+                self.young[w] = self._one(w)
             elif w[-1:] in ",." and w[:-1].isalpha():
                 tailed.append(w)
             else:
@@ -97,15 +102,16 @@ class WordEncoder:
         heads, tops = [w[:-1].lower() for w in tailed], [w.lower() for w in whole]
         found = {*tops, *heads, *(w[-1] for w in tailed), *(p for c in cut.values() for p in c)}
         missing = list(found - self.pieces.keys())
-        for start in range(0, len(missing), 2000):
-            self._pieces(missing[start : start + 2000])
+        for start in range(0, len(missing), _JOINED):
+            self._pieces(missing[start : start + _JOINED])
         known = self.pieces
         self.young.update(zip(whole, map(known.__getitem__, tops)))
         self.young.update({w: known[h] + known[w[-1]] for w, h in zip(tailed, heads)})
         self.young.update({w: b"".join([known[p] for p in c]) for w, c in cut.items()})
 
     def _pieces(self, pieces: list[str]) -> None:
-        ids = np.array(self.merges.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        joined = self.merges.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0]  # without places in the text
+        ids = np.array(joined.ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(pieces):
             raw = ids.tobytes()
@@ -130,6 +136,7 @@ def _latin(word: str) -> bool:
 
 
 KEEP_WORDS = 300_000
+TEXT_BYTES = 8 << 20  # texts encoded together: the more, the fewer different words a text brings
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
