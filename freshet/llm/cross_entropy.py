@@ -13,11 +13,11 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from freshet.llm.common import checked_broadcast, slices
+from freshet.llm.common import checked_broadcast, slices, together
 from freshet.session import materialize
 
 UNKNOWN = 16  # classes of words no model knows, by their length in bytes
-_TOGETHER = 16 << 20  # bytes of text whose words and bigrams are counted together
+_TOGETHER = 8 << 20  # bytes of text whose words and bigrams are counted together (up to twice that)
 _BUCKETS, _BUCKET_BYTES = 256, 8 << 20  # ranges of keys: so many at least, and one for so many bytes of text
 _WORD, _HISTORY, _PAIR = 0, 1, 2  # what a key counts, in its two lowest bits
 _BEGIN = " "  # history of a text's first word; no word holds a blank
@@ -53,21 +53,9 @@ def vocabulary(docs: DataFrame, size: int) -> list[str]:
     return [r["word"] for r in total.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The same rows in tables of about `_TOGETHER` bytes."""
-    held, size = [], 0
-    for batch in slices(batches):
-        held.append(batch)
-        size += batch.nbytes
-        if size >= _TOGETHER:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _column(table: pa.Table, name: str) -> pa.Array:
-    return pa.concat_arrays(table.column(name).chunks)
+    chunks = table.column(name).chunks
+    return pa.concat_arrays(chunks) if len(chunks) > 1 else chunks[0]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -164,41 +152,54 @@ _COUNTED = "bucket int, n int, keys binary, target binary, background binary"
 _SUMMED = _COUNTED + ", n_words bigint, target_words bigint, background_words bigint"
 
 
-def _count(buckets: int, known: frozenset[str] | None):
-    """Target and background counts of all keys of some texts, a row for each bucket."""
+_KINDS = {"bucket": pa.int32(), "slice": pa.int64(), "n": pa.int32(), "keys": pa.binary(), "target": pa.binary(), "background": pa.binary()}
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[name]) for c, name in zip(columns, names)], names=names)
 
+
+def _counted(texts: pa.Array, target: list, buckets: int, known: frozenset[str] | None) -> list[tuple]:
+    """Target and background counts of all keys of some texts: bucket, n, keys and both counts, a row for each bucket."""
+    places = Places(texts, known)
+    counts = places.counts(np.repeat(np.asarray(target, np.float64), np.diff(places.bounds))), places.counts()
+    return [
+        (bucket, at.stop - at.start, _packed_keys(places.keys[at]), *(_packed(c[at]) for c in counts))
+        for bucket, at in _by_bucket(places.keys, buckets)
+    ]
+
+
+def _count(buckets: int, known: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _together(batches):
-            places = Places(_column(table, "text"), known)
-            marked = np.repeat(np.asarray(table.column("target").to_pylist(), np.float64), np.diff(places.bounds))
-            counts = places.counts(marked), places.counts()
-            rows = [
-                (bucket, at.stop - at.start, _packed_keys(places.keys[at]), *(_packed(c[at]) for c in counts))
-                for bucket, at in _by_bucket(places.keys, buckets)
-            ]
-            if rows:
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "n", "keys", "target", "background"]
-                )
+        for batch in together(batches, _TOGETHER):
+            rows = _counted(batch.column("text"), batch.column("target").to_pylist(), buckets, known)
+            yield _rows(rows, ["bucket", "n", "keys", "target", "background"])
 
     return run
 
 
-def _sum(key, rows):
-    """One row for a bucket: its different keys and their counts over the whole corpus."""
+def _summed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
+    """Of the rows of a bucket: its different keys, which of them each row's keys are, both sums per key, and the rows' sizes."""
     sizes = rows.column("n").to_pylist()
-    keys = np.concatenate([_keys_of(p, n) for p, n in zip(rows.column("keys").to_pylist(), sizes)])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sums = [
-        np.add.reduceat(np.concatenate([_counts_of(p, n) for p, n in zip(rows.column(c).to_pylist(), sizes)])[order], first)
-        for c in ("target", "background")
-    ]
-    keys = keys[first]
+    keys, which = np.unique(np.concatenate([_keys_of(p, n) for p, n in zip(rows.column("keys").to_pylist(), sizes)]), return_inverse=True)
+    sums = []
+    for name in ("target", "background"):
+        counts = np.concatenate([_counts_of(p, n) for p, n in zip(rows.column(name).to_pylist(), sizes)])
+        sums.append(np.bincount(which, counts, len(keys)).astype(np.int64))  # exact below 2**53
+    return keys, which, sums, sizes
+
+
+def _words_of(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[int, int, int]:
+    """Different words among the keys, and how often they stand in the target and in the background."""
     words = (keys & np.uint64(3)) == _WORD
-    row = (key[0].as_py(), len(keys), _packed_keys(keys), *map(_packed, sums), int(words.sum()), *(int(s[words].sum()) for s in sums))
+    return int(words.sum()), *(int(s[words].sum()) for s in sums)
+
+
+def _sum(key, rows):
+    """One row for a bucket: its different keys and their counts over the whole corpus."""
+    keys, _, sums, _ = _summed(rows)
+    row = (key[0].as_py(), len(keys), _packed_keys(keys), *map(_packed, sums), *_words_of(keys, sums))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
     names = [c.split()[0] for c in _SUMMED.split(", ")]
     return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
@@ -217,6 +218,18 @@ class Models:
     weight: float
 
 
+def _bucket_count(docs: DataFrame) -> int:
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(_BUCKETS, -(-text_bytes // _BUCKET_BYTES))
+
+
+def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """doc_id, text, and whether the id is among those of `target`."""
+    chosen = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
+    marked = docs.select("doc_id", "text").join(checked_broadcast(chosen), "doc_id", "left")
+    return marked.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+
+
 def fit(docs: DataFrame, target: DataFrame, size: int | None = None, weight: float = 64.0) -> Models:
     """Bigram models of the documents whose ids are in `target` (doc_id) and of all documents.
 
@@ -224,29 +237,25 @@ def fit(docs: DataFrame, target: DataFrame, size: int | None = None, weight: flo
     order and one smoothing, `weight` pseudo-counts of the add-one unigram model for a history, and
     the background's counts are scaled to the target's number of words, so that the smoothing
     weighs the same in both. Words, histories and bigrams are counted under hashes of 62 bits, once
-    for some 16 MB of text, and summed by ranges of hashes, whose number follows the corpus; the
+    for some 8 MB of text, and summed by ranges of hashes, whose number follows the corpus; the
     driver gets three sums. `size` keeps only the most frequent words apart, and 16 classes of
     others by length; by default all are. Null texts have no words and null ids are no targets.
     """
     known = None if size is None else frozenset(vocabulary(docs, size))
-    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(_BUCKETS, -(-text_bytes // _BUCKET_BYTES))
-    chosen = target.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(checked_broadcast(chosen), "doc_id", "left")
-    marked = marked.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    totals = _written(marked.mapInArrow(_count(buckets, known), _COUNTED).groupBy("bucket").applyInArrow(_sum, _SUMMED))
+    buckets = _bucket_count(docs)
+    totals = _written(_marked(docs, target).select("text", "target").mapInArrow(_count(buckets, known), _COUNTED).groupBy("bucket").applyInArrow(_sum, _SUMMED))
     sums = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "target_words", "background_words"))).first()
     different = sums[0] if known is None else len(known)
     return Models(totals.select("bucket", "n", "keys", "target", "background"), buckets, known, different + UNKNOWN, *sums[1:], weight)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and their ids, a row for some 16 MB of text."""
+    """Rows as they come, one for some 8 MB of text."""
     first = TaskContext.get().partitionId() << 32
-    for k, table in enumerate(_together(batches)):
+    for k, batch in enumerate(together(batches, _TOGETHER)):
         sink = io.BytesIO()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
         yield pa.RecordBatch.from_pydict({"slice": pa.array([first + k], pa.int64()), "body": pa.array([sink.getvalue()], pa.binary())})
 
 
@@ -254,29 +263,59 @@ def _texts_of(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
+_SLICE = "slice bigint, body binary"
+_ANSWER = "slice bigint, bucket int, n int, target binary, background binary"
+_LOSSES = "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"
+
+
+def _score(known: frozenset[str] | None, weight: float, n_words: int, target_words: int, background_words: int):
+    """Losses of a slice's texts from the answers of all buckets."""
+    scaled = target_words > 0 and background_words > 0
+    scales = (1.0, target_words / background_words if scaled else 1.0)
+    sizes_of = (target_words, target_words if scaled else background_words)
+
+    def score(key, bodies, answers):
+        table = _texts_of(bodies.column("body")[0].as_py())
+        places = Places(_column(table, "text"), known)
+        answers = answers.sort_by("bucket")
+        lengths = answers.column("n").to_pylist()
+        sizes, means = np.diff(places.bounds), []
+        for name, scale, total in zip(("target", "background"), scales, sizes_of):
+            frames = [_counts_of(p, n) for p, n in zip(answers.column(name).to_pylist(), lengths)]
+            found = np.concatenate(frames) if frames else np.zeros(len(places.keys), np.int64)
+            words, histories, pairs = (scale * c for c in places.parts(found))
+            single = (words + 1.0) / (total + n_words)
+            logs = np.log((pairs + weight * single[places.word_of]) / (histories[places.history_of] + weight))
+            upto = np.concatenate(([0.0], np.cumsum(logs[places.pair])))[places.bounds]
+            means.append(-np.diff(upto) / np.maximum(sizes, 1))
+        return pa.Table.from_arrays(
+            [table.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(m) for m in means), pa.array(means[0] - means[1])],
+            names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
+        )
+
+    return score
+
+
 def losses(docs: DataFrame, models: Models) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, target_loss, background_loss and their difference, per word.
 
     Losses are mean negative log chances of whole texts; a lower difference is closer to the target.
-    Slices of some 16 MB of text ask each bucket for the counts of their different keys, so that no
+    Slices of some 8 MB of text ask each bucket for the counts of their different keys, so that no
     key is asked more than once a slice, however frequent, and score their texts with the answers.
     Texts without words (null ones too) have zero losses. Repeated rows are scored each; other
     columns are ignored.
     """
-    buckets, known, weight, n_words = models.buckets, models.known, models.weight, models.n_words
-    scaled = models.target_words > 0 and models.background_words > 0
-    scales = (1.0, models.target_words / models.background_words if scaled else 1.0)
-    sizes_of = (models.target_words, models.target_words if scaled else models.background_words)
+    buckets, known = models.buckets, models.known
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for number, body in zip(batch.column("slice").to_pylist(), batch.column("body")):
-                keys = Places(_column(_texts_of(body.as_py()), "text"), known).keys
-                rows = [(bucket, number, at.stop - at.start, _packed_keys(keys[at])) for bucket, at in _by_bucket(keys, buckets)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
-                    names=["bucket", "slice", "n", "keys"],
-                )
+                yield asked_of(number, body.as_py())
+
+    def asked_of(number: int, body: bytes) -> pa.RecordBatch:
+        keys = Places(_column(_texts_of(body), "text"), known).keys
+        rows = [(bucket, number, at.stop - at.start, _packed_keys(keys[at])) for bucket, at in _by_bucket(keys, buckets)]
+        return _rows(rows, ["bucket", "slice", "n", "keys"])
 
     def answer(key, asked, totals):
         held, counts = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 2
@@ -291,35 +330,54 @@ def losses(docs: DataFrame, models: Models) -> DataFrame:
             at = np.searchsorted(held, keys)
             at[np.append(held, np.uint64(0))[at] != keys] = len(held)  # never counted
             out.append((number, key[0].as_py(), n, *(_packed(c[at]) for c in counts)))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        columns = list(zip(*out)) or [[]] * 5
-        return pa.Table.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["slice", "bucket", "n", "target", "background"]
-        )
+        return pa.Table.from_batches([_rows(out, ["slice", "bucket", "n", "target", "background"])])
 
-    def score(key, bodies, answers):
-        table = _texts_of(bodies.column("body")[0].as_py())
-        places = Places(_column(table, "text"), known)
-        answers = answers.sort_by("bucket")
-        lengths = answers.column("n").to_pylist()
-        sizes, means = np.diff(places.bounds), []
-        for name, scale, total in zip(("target", "background"), scales, sizes_of):
-            found = np.concatenate([_counts_of(p, n) for p, n in zip(answers.column(name).to_pylist(), lengths)])
-            words, histories, pairs = (scale * c for c in places.parts(found))
-            single = (words + 1.0) / (total + n_words)
-            logs = np.log((pairs + weight * single[places.word_of]) / (histories[places.history_of] + weight))
-            upto = np.concatenate(([0.0], np.cumsum(logs[places.pair])))[places.bounds]
-            means.append(-np.diff(upto) / np.maximum(sizes, 1))
-        return pa.Table.from_arrays(
-            [table.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(m) for m in means), pa.array(means[0] - means[1])],
-            names=["doc_id", "n_words", "target_loss", "background_loss", "difference"],
-        )
-
-    cut = materialize(docs.select("doc_id", "text").mapInArrow(_cut, "slice bigint, body binary"))
+    cut = materialize(docs.select("doc_id", "text").mapInArrow(_cut, _SLICE))
     asked = cut.mapInArrow(ask, "bucket int, slice bigint, n int, keys binary")
+    answers = _written(asked.groupBy("bucket").cogroup(models.totals.groupBy("bucket")).applyInArrow(answer, _ANSWER))
+    score = _score(known, models.weight, models.n_words, models.target_words, models.background_words)
+    return cut.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, _LOSSES)
+
+
+def differences(docs: DataFrame, target: DataFrame, size: int | None = None, weight: float = 64.0) -> DataFrame:
+    """`losses(docs, fit(docs, target, size, weight))`, with the keys of the corpus sent over the network once.
+
+    A slice of some 8 MB of text sends each bucket its keys with their counts; the bucket sums them
+    and returns the sums to the slices that sent them, so that nothing is asked a second time and no
+    table of totals is kept. Nulls, ties, empty texts and other columns count as there.
+    """
+    known = None if size is None else frozenset(vocabulary(docs, size))
+    buckets = _bucket_count(docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for number, body in zip(batch.column("slice").to_pylist(), batch.column("body")):
+                yield counted(number, body.as_py())
+
+    def counted(number: int, body: bytes) -> pa.RecordBatch:
+        table = _texts_of(body)
+        rows = _counted(_column(table, "text"), table.column("target").to_pylist(), buckets, known)
+        return _rows([(number, *row) for row in rows], ["slice", "bucket", "n", "keys", "target", "background"])
+
+    def answer(key, rows):
+        keys, which, sums, sizes = _summed(rows)
+        ends = np.cumsum(sizes)
+        out = [
+            (number, key[0].as_py(), n, *(_packed(s[which[end - n : end]]) for s in sums))
+            for number, n, end in zip(rows.column("slice").to_pylist(), sizes, ends)
+        ]
+        table = pa.Table.from_batches([_rows(out, ["slice", "bucket", "n", "target", "background"])])
+        for name, total in zip(("n_words", "target_words", "background_words"), _words_of(keys, sums)):
+            table = table.append_column(name, pa.array([total] + [0] * (len(out) - 1), pa.int64()))  # once a bucket
+        return table
+
+    cut = materialize(_marked(docs, target).mapInArrow(_cut, _SLICE))
+    sent = cut.mapInArrow(count, f"slice bigint, {_COUNTED}")
     answers = _written(
-        asked.groupBy("bucket").cogroup(models.totals.groupBy("bucket"))
-        .applyInArrow(answer, "slice bigint, bucket int, n int, target binary, background binary")
-    )
-    schema = "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"
-    return cut.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, schema)
+        sent.groupBy("bucket").applyInArrow(answer, f"{_ANSWER}, n_words bigint, target_words bigint, background_words bigint")
+    )
+    sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "target_words", "background_words"))).first()
+    different = sums[0] if known is None else len(known)
+    score = _score(known, weight, different + UNKNOWN, *sums[1:])
+    back = answers.select("slice", "bucket", "n", "target", "background")
+    return cut.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(score, _LOSSES)

@@ -286,6 +286,20 @@ def test_losses_equal_a_plain_model(spark):
         assert got[d]["difference"] == pytest.approx(a - b, abs=2e-4)
 
 
+def test_differences_are_those_of_a_fit(spark):
+    docs = corpora.documents(spark)
+    target = spark.read.parquet(f"{corpora.SF_DIR}/labels.parquet").where("quality = 1")
+    odd, none = corpora.awkward(spark), corpora.nothing(spark)
+    for rows, chosen, size in ((docs, target, None), (docs, target, 300), (odd, odd.select("doc_id"), None), (none, none.select("doc_id"), None)):
+        columns = ["doc_id", "n_words", "target_loss", "background_loss", "difference"]
+        want = cross_entropy.losses(rows, cross_entropy.fit(rows, chosen, size)).select(columns)
+        got = cross_entropy.differences(rows, chosen, size).select(columns)
+        key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+        want, got = sorted(want.collect(), key=key), sorted(got.collect(), key=key)
+        assert len(got) == len(want) == rows.count()
+        assert all(tuple(g) == pytest.approx(tuple(w), abs=1e-9) for g, w in zip(got, want))
+
+
 def test_losses_prefer_the_target_and_stand_awkward_rows(spark):
     rows = [(k, "red green blue " * 5) for k in range(20)] + [(100 + k, "one two three " * 5) for k in range(20)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
