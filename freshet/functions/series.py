@@ -94,6 +94,39 @@ def with_previous(
     )
 
 
+def latest_at(
+    df: DataFrame, rows: DataFrame, keys: Sequence[str], at: str, time: str, name: str = "_latest",
+    slice_seconds: int = SLICE_SECONDS,
+) -> DataFrame:
+    """Add struct `name`: the latest row of `rows` (all columns but `keys`) in the same series at or before `at`.
+
+    Each row of `df` brings its own time. Both tables are merged in time order inside (series, slice),
+    where the last row seen is carried on; one summary row a slice carries it across slices, so a gap
+    of any length costs nothing and a hot series is spread over its slices. `rows` holds one row per
+    series and time. A null key or time finds nothing and is found by nothing; every row of `df` stays.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    known = rows.where(F.col(time).isNotNull()).dropna(subset=list(keys))
+    found = known.select(*keys, micros(time).alias("_when"), F.lit(0).alias("_side"), F.struct(*rest).alias(name))
+    asked = df.select(*keys, micros(at).alias("_when"), F.lit(1).alias("_side"), F.struct(*df.columns).alias("_own"))
+    merged = found.unionByName(asked, allowMissingColumns=True).withColumn(
+        SLICE, F.floor(F.col("_when") / F.lit(slice_seconds * 1_000_000))
+    )
+    upto = W.partitionBy(*keys, SLICE).orderBy("_when", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        merged.groupBy(*keys, SLICE)
+        .agg(F.max_by(name, F.when(F.col("_side") == 0, F.col("_when"))).alias("_tail"))
+        .select(*keys, SLICE, F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
+    )
+    return (
+        merged.withColumn(name, F.last(name, ignorenulls=True).over(upto))
+        .where(F.col("_side") == 1)
+        .join(carried, [*keys, SLICE], "left")
+        .select("_own.*", F.coalesce(F.col(name), F.col("_carry")).alias(name))
+    )
+
+
 def with_ordinal(
     df: DataFrame, keys: Sequence[str], time: str, slice_seconds: int = SLICE_SECONDS
 ) -> DataFrame:

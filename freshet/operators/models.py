@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from freshet.functions.clock import stamp
 from freshet.functions.risk import classify_risk, confidence, estimate_lead_time
+from freshet.functions.series import latest_at
 from freshet.operators.evaluation import scale_pos_weight
 from freshet.operators.grid import BBox, points_in_grid
 from freshet.session import checkpoint_root
@@ -102,6 +103,22 @@ def inference_features(features: DataFrame, as_of: str, keys: Sequence[str] = ("
     return past.groupBy(*keys).agg(F.max_by(F.struct(*rest), time).alias("_row")).select(*keys, "_row.*")
 
 
+def features_at(
+    requests: DataFrame, features: DataFrame, keys: Sequence[str] = ("station_id",), at: str = "requested_at", time: str = "timestamp"
+) -> DataFrame:
+    """Every request with the latest feature row of its series at or before its own time `at`.
+
+    No row after a request is used. A request without an earlier row, key or time keeps null features.
+    Requests and features must not share names besides `keys`.
+    """
+    rest = [c for c in features.columns if c not in keys]
+    shared = sorted(set(rest) & set(requests.columns))
+    if shared:
+        raise ValueError(f"Requests and features share columns: {shared}")
+    found = latest_at(requests, features, keys, at, time)
+    return found.select(*requests.columns, *[F.col("_latest").getField(c).alias(c) for c in rest])
+
+
 def contributions(model: PipelineModel, df: DataFrame, features: Sequence[str], row: Sequence[str], background: DataFrame | None = None) -> DataFrame:
     """Per row and feature: how much the score drops when that feature is set to its background mean.
 
@@ -138,3 +155,11 @@ def landslide_inference_features(
     latest = latest.withColumn("date", F.col("date").cast("date"))
     placed = points_in_grid(points, bbox, cell_km).select(*key, "grid_id")
     return placed.join(latest, "grid_id", "left")
+
+
+def landslide_features_at(
+    points: DataFrame, features: DataFrame, bbox: BBox, cell_km: float = 1.0, key: Sequence[str] = ("point_id",), at: str = "asked_on"
+) -> DataFrame:
+    """The latest features, at or before each point's own day `at`, of the grid cell that the point (lat, lon) lies in."""
+    placed = points_in_grid(points, bbox, cell_km).select(*key, at, "grid_id")
+    return features_at(placed, features, ("grid_id",), at, "date")

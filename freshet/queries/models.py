@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.functions import risk
+from freshet.functions.clock import plus_hours
 from freshet.operators import attribution, evaluation, explain, features, models, splits
 from freshet.plans import landslide
 from freshet.queries import learning
 from freshet.queries.features import FLOOD_NAMES, W12_SQL, flood_rows
 from freshet.queries.gauges import r
-from freshet.queries.registry import query
+from freshet.queries.registry import GAUGE_USERS, query
 from freshet.queries.travel import scratch
 from freshet.session import materialize
 from freshet.sources import datasets
@@ -222,6 +223,47 @@ def point_in_time(t):
     )
 
 
+@query(
+    "m5_request_features",
+    """
+    WITH k AS (SELECT catchment_id AS station_id, "timestamp", rainfall_mm FROM rain_hourly),
+    l AS (SELECT *, lag(rainfall_mm, 1) OVER w AS rainfall_mm_lag_1, sum(rainfall_mm) OVER (w ROWS 2 PRECEDING) AS rainfall_mm_3d_sum
+          FROM k WINDOW w AS (PARTITION BY station_id ORDER BY "timestamp")),
+    asked AS (SELECT event_id, 'ST' || (user_id // 10) AS station_id, ts::TIMESTAMP - to_hours(event_id % 73 * 11) AS requested_at FROM events)
+    SELECT event_id, asked.station_id, requested_at, "timestamp", round(rainfall_mm, 6) AS rainfall_mm,
+           round(rainfall_mm_lag_1, 6) AS rainfall_mm_lag_1, round(rainfall_mm_3d_sum, 6) AS rainfall_mm_3d_sum
+    FROM asked ASOF LEFT JOIN l ON asked.station_id = l.station_id AND requested_at >= "timestamp" """,
+)
+def at_own_time(t):
+    """Every event asks for its station's features at a time of its own, up to 33 days before it."""
+    hourly = t.rain_points().groupBy(F.col("catchment_id").alias("station_id"), "timestamp").agg(F.avg("precipitation").alias("rainfall_mm"))
+    wide = features.windowed_features(hourly, {"rainfall_mm": (1,)}, {"rainfall_mm": ((3,), ("sum",))}, step=24.0)
+    asked = t.read("events").select(
+        "event_id", F.concat(F.lit("ST"), F.floor(F.col("user_id") / GAUGE_USERS)).alias("station_id"),
+        plus_hours("ts", -(F.col("event_id") % 73 * 11)).alias("requested_at"),
+    )
+    return models.features_at(asked, wide).select(
+        "event_id", "station_id", "requested_at", "timestamp", *[r(c) for c in ("rainfall_mm", "rainfall_mm_lag_1", "rainfall_mm_3d_sum")]
+    )
+
+
+@query(
+    "m5_landslide_request_features",
+    f"""WITH daily AS (SELECT * FROM cell_features WHERE {' AND '.join(f'{n} IS NOT NULL' for n in SLIDE_NAMES)}),
+    asked AS (SELECT p.*, date + (l_orderkey % 40)::INTEGER AS asked_on FROM placed p)
+    SELECT l_orderkey, l_linenumber, asked_on, a.grid_id, daily.date, round(daily.rainfall_mm_ari_7d, 6) AS rainfall_mm_ari_7d, round(daily.slope, 6) AS slope
+    FROM asked a ASOF LEFT JOIN daily ON a.grid_id = daily.grid_id AND asked_on >= daily.date""",
+)
+def slide_at_own_day(t):
+    """Points find the latest features of their grid cell up to a day of their own."""
+    full = materialize(landslide.labelled_cell_days(
+        t.slides(), learning.terrain(t), learning.weather(t), learning.BBOX, learning.START, learning.END, learning.CELL_KM
+    ))
+    asked = t.slides().withColumn("asked_on", F.date_add("date", (F.col("l_orderkey") % 40).cast("int"))).drop("date")
+    found = models.landslide_features_at(asked, features.landslide_features(full), learning.BBOX, learning.CELL_KM, key=("l_orderkey", "l_linenumber"))
+    return found.select("l_orderkey", "l_linenumber", "asked_on", "grid_id", "date", r("rainfall_mm_ari_7d"), r("slope"))
+
+
 def trees(t, hazard: str = "flood"):
     return attribution.booster(attribution.booster_nodes(t.spark, f"{saved(t, hazard)}/model"))
 

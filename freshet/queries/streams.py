@@ -42,6 +42,31 @@ def gauges(t):
     return drained(t, watch.gauge_watch(readings)).select("station_id", "hour", r("mean_level"), r("max_level"), "state")
 
 
+@query(
+    "st3_contact_spells",
+    """
+    WITH levels AS (SELECT 'ST' || (user_id // 10) AS station_id, ts::TIMESTAMP AS "timestamp", max(47 + value / 41) AS water_level FROM events GROUP BY 1, 2),
+    gapped AS (SELECT l.*, to_hours(CASE WHEN s_suppkey IS NULL THEN 6 ELSE 2 + s_suppkey % 4 END) AS gap
+               FROM levels l LEFT JOIN supplier ON l.station_id = 'ST' || s_suppkey),
+    marked AS (SELECT *, CASE WHEN lag("timestamp") OVER w + gap >= "timestamp" THEN 0 ELSE 1 END AS opens
+               FROM gapped WINDOW w AS (PARTITION BY station_id ORDER BY "timestamp")),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY station_id ORDER BY "timestamp") AS spell FROM marked),
+    spells AS (SELECT station_id, min("timestamp") AS first_reading, max("timestamp") AS last_reading, max("timestamp") + any_value(gap) AS silent_from,
+                      count(*) AS readings FROM numbered GROUP BY station_id, spell)
+    SELECT * FROM spells WHERE silent_from <= (SELECT date_trunc('millisecond', max("timestamp")) - INTERVAL 1 HOUR FROM levels)""",
+)
+def spells(t):
+    """Every gauge reading comes twice; supplier keys give stations their gaps, others take six hours."""
+    twice = stream_of(t, "events").select(
+        F.concat(F.lit("ST"), F.floor(F.col("user_id") / GAUGE_USERS)).alias("station_id"), F.col("ts").alias("timestamp"),
+        (47 + F.col("value") / 41).alias("water_level"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"),
+    )
+    gaps = t.read("supplier").select(
+        F.concat(F.lit("ST"), "s_suppkey").alias("station_id"), F.concat((2 + F.col("s_suppkey") % 4).cast("string"), F.lit(" hours")).alias("report_gap")
+    )
+    return drained(t, watch.contact_spells(twice.drop("copy"), gaps)).drop("max_level")
+
+
 @query(
     "st1_zone_registry",
     """

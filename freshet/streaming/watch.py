@@ -113,6 +113,35 @@ def gauge_watch(readings: DataFrame, delay: str = "1 hour", station: str = "stat
     )
 
 
+def contact_spells(
+    readings: DataFrame, stations: DataFrame, delay: str = "1 hour", default_gap: str = "6 hours", station: str = "station_id"
+) -> DataFrame:
+    """Spells in which a station kept reporting, given out once its silence is certain.
+
+    `readings` (a stream): station_id, timestamp, water_level; `stations` (a table, one row each):
+    station_id, report_gap, an interval text such as '3 hours'. A reading later than the station's
+    gap after the last one begins a new spell; stations that the table lacks, or whose gap is null,
+    take `default_gap`. Readings of a station at one time count once, also when a repeat comes in a
+    later batch within `delay`. `silent_from` is the last reading plus the gap: the spell comes out
+    when the watermark has passed it. Readings without station or time are left out.
+    """
+    timed = readings.withColumn("timestamp", F.col("timestamp").cast("timestamp")).dropna(subset=[station, "timestamp"])
+    once = timed.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark([station, "timestamp"])
+    gapped = once.join(stations.select(station, "report_gap"), station, "left")
+    gap = F.coalesce("report_gap", F.lit(default_gap))
+    spells = gapped.groupBy(station, F.session_window("timestamp", gap).alias("spell")).agg(
+        F.count(F.lit(1)).alias("readings"), F.max("timestamp").alias("last_reading"), F.max("water_level").alias("max_level")
+    )
+    return spells.select(
+        station,
+        F.col("spell.start").cast("timestamp_ntz").alias("first_reading"),
+        F.col("last_reading").cast("timestamp_ntz").alias("last_reading"),
+        F.col("spell.end").cast("timestamp_ntz").alias("silent_from"),
+        "readings",
+        "max_level",
+    )
+
+
 def position_alerts(
     positions: DataFrame, read_zones: Callable[[], DataFrame], path: str, checkpoint: str, buffer_km: float = 5.0,
     time: str = "ts", available_now: bool = True,

@@ -17,7 +17,7 @@ SAMPLE = [
     "w3_gap_fill_hourly", "f23_sampling_points", "w10_rolling_features", "j13_predictions_to_zones", "f15_alerts_from_zones",
     "f18_user_priority", "a21_location_status", "j12_combined_risk", "f22_grid_cells", "a13_roc_pr_auc", "t8_time_split",
     "t2_driver_strings", "r5_flow_direction", "r6_flow_accumulation", "t5_sample_vertices", "j10_nearest_hazard",
-    "s6_parse_hourly_payload", "f27_parse_date", "s5_weather_store", "st3_gauge_watch", "m2_landslide_training_set", "m5_landslide_inference_features", "r4_r10_conditioned_extent", "r10_outline_areas", "r3_resolve_flats", "st1_zone_registry", "st2_position_alerts",
+    "s6_parse_hourly_payload", "f27_parse_date", "s5_weather_store", "st3_gauge_watch", "m2_landslide_training_set", "m5_landslide_inference_features", "m5_request_features", "st3_contact_spells", "r4_r10_conditioned_extent", "r10_outline_areas", "r3_resolve_flats", "st1_zone_registry", "st2_position_alerts",
 ]
 WITHOUT_SQL = {
     "r10_flood_outlines", "r11_catchment_outline",
