@@ -91,12 +91,13 @@ def _selectors(wide: np.ndarray, left: np.ndarray) -> np.ndarray:
     """For a word that starts at each position: the selector that packs most ids, 0 for an escape."""
     best = np.zeros(len(wide), np.int8)
     widest = wide.max() if len(wide) else 0
+    fit = None  # the places of ids that the last width holds: a narrower one holds only some of them
     for s in range(15, 0, -1):  # the later assignment, with the greater count, stays
         count = int(COUNTS[s])
         if widest <= WIDTHS[s]:
             best[left >= count] = s
             continue
-        fit = np.flatnonzero(wide <= WIDTHS[s])
+        fit = np.flatnonzero(wide <= WIDTHS[s]) if fit is None else fit[wide[fit] <= WIDTHS[s]]
         if len(fit) >= count:
             start = fit[: len(fit) - count + 1]
             start = start[fit[count - 1 :] - start == count - 1]

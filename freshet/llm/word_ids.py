@@ -68,21 +68,17 @@ class WordEncoder:
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young = self.young
         found = list(map(young.get, words))
-        missing, new = [k for k, ids in enumerate(found) if ids is None], []
-        for k in missing:
-            w = words[k]
-            ids = old.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                young[w] = ids
+        missing = [w for w, ids in zip(words, found) if ids is None]
+        if not missing:
+            return found
+        kept = list(map(self.old.get, missing))
+        young.update([(w, ids) for w, ids in zip(missing, kept) if ids is not None])
+        new = [w for w, ids in zip(missing, kept) if ids is None]
         if new:
             self._learn(new)
-        for k in missing:
-            found[k] = young[words[k]]
-        return found
+        return list(map(young.__getitem__, words))
 
     def _learn(self, new: list[str]) -> None:
         if len(self.pieces) > self.keep:
