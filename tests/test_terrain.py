@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import tours
+from freshet.functions.series import salted_lookup
 from freshet.operators import drainage, extents, terrain
+from freshet.session import materialize, prepare
 from freshet.sources import rasters
 
 OFFSETS = list(terrain.D8_OFFSET.items())
@@ -329,3 +331,17 @@ def test_loops_remove_the_tables_they_supersede(spark):
     before = set(os.listdir(root))
     drainage.flow_accumulation(flowing).collect()
     assert len(set(os.listdir(root)) - before) == 1  # what the result reads
+
+
+def test_compressed_tables_are_not_broadcast_unmeasured(spark):
+    """Columns that compress well make small files, which say nothing of the rows that the driver would hold."""
+    prepare(spark)
+    wide = materialize(spark.range(300_000).select(F.lit(1).alias("dem_id"), "id", F.lit(0).alias("level")))
+    tiny = materialize(spark.range(20).select(F.lit(1).alias("dem_id"), "id"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" not in plan(wide.join(wide.select("dem_id", "id", F.col("level").alias("other")), ["dem_id", "id"]))
+    assert "BroadcastHashJoin" not in plan(salted_lookup(wide, wide.select("id", F.col("level").alias("other")), ["id"], ["dem_id"]))
+    assert "BroadcastHashJoin" in plan(wide.join(tiny, ["dem_id", "id"]))
