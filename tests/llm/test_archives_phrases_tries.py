@@ -269,3 +269,14 @@ def test_trie_of_chunks_and_pieces(spark, monkeypatch):
 
 def test_no_conversations_give_no_nodes(spark):
     assert prefix_trie.prefix_trie(talks(spark, [])).count() == 0
+
+
+def test_suffixes_follow_from_keys_and_prefixes():
+    rng = np.random.default_rng(5)
+    prefix, suffix = (rng.integers(1, 1 << 63, 10_000, dtype=np.uint64) for _ in range(2))
+    assert (collocations._suffix(collocations._joined(prefix, suffix), prefix) == suffix).all()
+    assert not collocations._suffix(suffix, np.zeros(10_000, np.uint64)).any()  # words have no sides
+    words = rng.integers(1, 5, 500, dtype=np.uint64)
+    every = np.full(1 << 10, ~np.uint64(0))
+    for k, key, before, after in collocations._ngrams(words.view(np.int64), [1, 2, 3, 4, 5], every):
+        assert len(key) == 501 - k and (collocations._suffix(key, before) == after).all()
