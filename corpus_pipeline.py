@@ -42,8 +42,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of every document lies in the training sequences."""
     small_batches(spark)
-    # workers outlive the stage, so they keep a smaller cache than packing alone would
-    return best_fit.pack_documents(docs, keep_words=50_000)
+    # workers outlive the stages before, so they keep a smaller cache and shorter arrays than packing alone would
+    return best_fit.pack_documents(docs, keep_words=20_000, text_bytes=1 << 20)
 
 
 STAGES = [

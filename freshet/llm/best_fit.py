@@ -20,13 +20,13 @@ _BROADCAST_FLOWS = 500_000  # five integers each: at most some 20 MB
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
-def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool, keep_words: int):
+def _cut(vocabulary: str, end_id: int, capacity: int, with_ids: bool, keep_words: int, text_bytes: int = TEXT_BYTES):
     """Tokenise whole texts and cut only those that are longer than a sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
-        for batch in together(batches, TEXT_BYTES):
+        for batch in together(batches, text_bytes):
             flat, counts = encoder(vocabulary, keep_words).encode(batch.column("text"))
             ids = np.insert(flat, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
             counts = counts + 1
@@ -136,7 +136,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def pack_documents(
     docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, with_ids: bool = False,
-    keep_words: int = KEEP_WORDS,
+    keep_words: int = KEEP_WORDS, text_bytes: int = TEXT_BYTES,
 ) -> DataFrame:
     """Place all of `docs` (doc_id, text) in sequences of `capacity` tokens.
 
@@ -146,13 +146,13 @@ def pack_documents(
     pieces of every length, per-task counts turn those numbers into ranks over the corpus, and the
     supersteps of `plan` match rank ranges with sequence ranges, which each piece then looks up by
     its length and rank. Null text is the empty text (one end id), repeated rows are separate
-    documents, null doc_ids stay null, `keep_words` bounds each worker's cache of words, other columns are ignored, an empty table gives an empty one.
+    documents, null doc_ids stay null, `keep_words` bounds each worker's cache of words and `text_bytes` the texts it encodes together, other columns are ignored, an empty table gives an empty one.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     schema = PIECE + (", ids binary" if with_ids else "")
     pieces = materialize(
-        docs.select("doc_id", "text").mapInArrow(_cut(vocabulary, end_id, capacity, with_ids, keep_words), schema)
+        docs.select("doc_id", "text").mapInArrow(_cut(vocabulary, end_id, capacity, with_ids, keep_words, text_bytes), schema)
     )
     counted = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)

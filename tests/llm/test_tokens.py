@@ -177,3 +177,12 @@ def test_plan_places_every_document_and_is_near_best_fit_decreasing(sizes):
         else:
             bins.append(50 - s)
     assert len(room) <= 1.2 * len(bins) + 1
+
+
+def test_shorter_slices_of_text_pack_the_same(spark):
+    docs = spark.createDataFrame([(k, f"word{k % 7} and {k} more, " * (k % 23)) for k in range(300)], "doc_id bigint, text string")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole, short = (
+        sorted(map(tuple, best_fit.pack_documents(docs, capacity=64, text_bytes=size).select(*columns).collect())) for size in (8 << 20, 500)
+    )
+    assert whole == short
