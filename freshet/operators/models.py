@@ -40,6 +40,16 @@ FLOOD = Profile(depth=4, rate=0.05, trees=200)
 LANDSLIDE = Profile(depth=5, rate=0.03, trees=300)
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """`df`, a stored table, dealt evenly over whole waves of the cluster's cores; what fits one partition stays there.
+
+    Every level of every tree is one stage over all rows, so a last wave that is half empty is paid for
+    again at each of them.
+    """
+    parts, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, round(parts / cores)) * cores) if parts > 1 else df
+
+
 def train(df: DataFrame, features: Sequence[str], profile: Profile = FLOOD, label: str = "label") -> PipelineModel:
     """Gradient-boosted trees; positives are weighted by negatives per positive."""
     checkpoint_root(df.sparkSession)  # the booster cuts its lineage there
@@ -47,15 +57,17 @@ def train(df: DataFrame, features: Sequence[str], profile: Profile = FLOOD, labe
     weighted = df.select(
         *features, F.col(label).cast("double").alias(label), F.when(F.col(label) == 1, weight).otherwise(1.0).alias("_weight")
     )
+    # Node ids are not cached: a row finds its node in at most `depth` steps, while the cache writes another
+    # array per row and level, which costs more than the statistics themselves.
     booster = GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="_weight", maxDepth=profile.depth, stepSize=profile.rate,
         maxIter=profile.trees, subsamplingRate=profile.row_share, featureSubsetStrategy=profile.feature_share,
-        seed=profile.seed, cacheNodeIds=True, checkpointInterval=10,
+        seed=profile.seed, cacheNodeIds=False, checkpointInterval=10,
     )
     filled = ", ".join(f"coalesce(nanvl(double(`{f}`), NULL), {MISSING}D) AS `{_FILLED}{f}`" for f in features)
     complete = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
     assembler = VectorAssembler(inputCols=[_FILLED + f for f in features], outputCol="features")
-    return Pipeline(stages=[complete, assembler, booster]).fit(weighted)
+    return Pipeline(stages=[complete, assembler, booster]).fit(balanced(weighted))
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
