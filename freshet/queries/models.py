@@ -34,14 +34,20 @@ SLIDE_ROWS = f"""complete AS (SELECT * FROM cell_features WHERE {' AND '.join(f'
 
 
 def split_rows(t):
-    return materialize(splits.time_split(materialize(flood_rows(t))))
+    """Flood rows of both parts, made once per query: the model is fitted with the one, the other is scored."""
+    if "flood" not in t.made:
+        t.made["flood"] = materialize(splits.time_split(materialize(flood_rows(t))))
+    return t.made["flood"]
 
 
 def slide_rows(t):
-    made = landslide.landslide_training_set(
-        t.slides(), learning.terrain(t), learning.weather(t), learning.BBOX, learning.START, learning.END, learning.CELL_KM, ratio=2
-    )
-    return materialize(splits.time_split(materialize(made), time="date"))
+    """The same for landslides."""
+    if "landslide" not in t.made:
+        rows = landslide.landslide_training_set(
+            t.slides(), learning.terrain(t), learning.weather(t), learning.BBOX, learning.START, learning.END, learning.CELL_KM, ratio=2
+        )
+        t.made["landslide"] = materialize(splits.time_split(materialize(rows), time="date"))
+    return t.made["landslide"]
 
 
 def saved(t, hazard: str) -> str:

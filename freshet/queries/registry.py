@@ -179,6 +179,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
+        self.made: dict[str, DataFrame] = {}  # tables that several steps of one query share
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from freshet.operators import attribution, models
 from freshet.operators.zones import combined_risk
+from freshet.queries import models as model_queries
+from freshet.queries.registry import Tables
 from freshet.session import checkpoint_root
 from freshet.sources import datasets
 
@@ -129,3 +131,37 @@ def test_weather_of_several_catchments_shares_a_date(spark, tmp_path):
         ("forecast", "A", f"{day} 01:00:00", 7.0), ("historical", "A", f"{day} 05:00:00", 5.0), ("historical", "A", "2024-01-09 00:00:00", 9.0),
         ("historical", "B", f"{day} 01:00:00", 3.0), ("historical", "None", f"{day} 04:00:00", 6.0),
     ]
+
+
+def test_training_deals_rows_evenly_and_keeps_no_node_ids(spark, fitted):
+    assert not fitted[1].stages[-1].getCacheNodeIds()  # a second pass over every row at each level of each tree
+    cores = spark.sparkContext.defaultParallelism
+    powers = spark.sparkContext.parallelize(range(5), 5).flatMap(lambda k: [(i,) for i in range(10**k)])
+    skewed = spark.createDataFrame(powers, "id long")
+    sizes = models.balanced(skewed).rdd.glom().map(len).collect()
+    assert len(sizes) == cores and sum(sizes) == 11_111 and max(sizes) - min(sizes) <= cores * 5
+    assert models.balanced(skewed.coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_a_query_makes_its_rows_once(spark, monkeypatch):
+    """The rows that fit a model and those it is tried on are two parts of one table."""
+    made = []
+
+    def rows(t):
+        made.append(t)
+        time = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(CAST(id AS INT))")
+        return spark.range(10).select(F.lit("ST1").alias("station_id"), time.alias("timestamp"), F.to_date(time).alias("date"))
+
+    monkeypatch.setattr(model_queries, "flood_rows", rows)
+    monkeypatch.setattr(model_queries.landslide, "landslide_training_set", lambda *a, **k: rows(a))
+    monkeypatch.setattr(Tables, "slides", lambda t: None)
+    monkeypatch.setattr(model_queries.learning, "terrain", lambda t: None)
+    monkeypatch.setattr(model_queries.learning, "weather", lambda t: None)
+    t = Tables(spark, "nowhere")
+    assert model_queries.split_rows(t).where("split = 'train'").count() == 8
+    assert model_queries.test_rows(t).count() == 2
+    assert len(made) == 1
+    assert model_queries.slide_rows(t).count() == model_queries.slide_rows(t).count() == 10
+    assert len(made) == 2
+    model_queries.split_rows(Tables(spark, "nowhere"))  # another query makes its own
+    assert len(made) == 3
