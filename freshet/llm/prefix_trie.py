@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.ordering import global_ordinal, running_totals
 from freshet.functions.series import salted_lookup
-from freshet.session import discard, materialize
+from freshet.session import discard, materialize, measure_broadcasts
 
 FAMILY = 5
 BORROW = 9
@@ -272,8 +272,10 @@ def prefix_trie(conversations: DataFrame, family: int = FAMILY, borrow: int = BO
     Conversations (conv_id, turn, role, text) are rebuilt with shared beginnings first (`rebuilt`). Null
     roles and texts are empty, rows with a null conv_id are left out, turns of one number are ordered
     by role and text, repeated rows are turns of their own, other columns are ignored, and an
-    empty table gives an empty table.
+    empty table gives an empty table. In the session it is given, joins broadcast only measured sides
+    from then on.
     """
+    measure_broadcasts(conversations.sparkSession)  # sizes of files tell nothing of salted rows: 10 MB can be GBs
     rows, convs = rebuilt(materialize(ordered_turns(conversations)), family, borrow)
     turns = materialize(sequence_nodes(rows))
     key = ["node", "parent", "depth", "bytes"]

@@ -38,6 +38,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def measure_broadcasts(spark: SparkSession) -> None:
+    """In a session somebody else built, let joins without a hint broadcast only what AQE has measured to be small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    spark.conf.set(key, SETTINGS[key])
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a scratch folder only for local masters."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

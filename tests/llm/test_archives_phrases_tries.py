@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
+from freshet.functions.series import LOOKUP_SALTS, salted_lookup
 from freshet.llm import collocations, prefix_trie, warc
 
 PAGE = "page_id bigint, url string, html string, payload string, sha_ string, holder string, n string, record_type string"
@@ -271,6 +272,25 @@ def test_no_conversations_give_no_nodes(spark):
     assert prefix_trie.prefix_trie(talks(spark, [])).count() == 0
 
 
+def test_salted_rows_are_not_broadcast_unmeasured(spark, monkeypatch):
+    """In a session with Spark's own bound of 10 MB, files far smaller than that hold 640 000 salted rows."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    seen = []
+
+    def planned(df, small, *rest):
+        found = salted_lookup(df, small, *rest)
+        plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+        seen.append((small.count() * LOOKUP_SALTS, next(step for step in plan if "Join" in step)))
+        return found
+
+    monkeypatch.setattr(prefix_trie, "salted_lookup", planned)
+    rows = session.range(20_000).selectExpr("id as conv_id", "0L as turn", "'user' as role", "cast(id as string) as text")
+    assert prefix_trie.prefix_trie(rows).agg({"n_convs": "max"}).first()[0] == 20_000
+    large = [join for n, join in seen if n > 500_000]
+    assert len(large) >= 4 and not any("Broadcast" in join for join in large)
+
+
 def test_suffixes_follow_from_keys_and_prefixes():
     rng = np.random.default_rng(5)
     prefix, suffix = (rng.integers(1, 1 << 63, 10_000, dtype=np.uint64) for _ in range(2))
